@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import bpe, media, warc
 
-QUERIES = {"op1_warc_revisits": warc.op1_warc_revisits}
+QUERIES = {
+    "op1_warc_revisits": warc.op1_warc_revisits,
+    "op2_media_columns": media.op2_media_columns,
+    "op4_bpe": bpe.op4_bpe,
+}
 
 ORACLES = {"op1_warc_revisits": warc.ORACLE}
