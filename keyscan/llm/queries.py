@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, media, warc
+from . import bpe, media, simhash, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op2_media_columns": media.op2_media_columns,
     "op4_bpe": bpe.op4_bpe,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {"op1_warc_revisits": warc.ORACLE}

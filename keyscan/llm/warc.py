@@ -159,7 +159,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives under ``path``; a task holds one file at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    small_batches(spark, 1)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, RECORD)
 
 
