@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, media, simhash, warc
+from . import bpe, media, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op2_media_columns": media.op2_media_columns,
     "op4_bpe": bpe.op4_bpe,
+    "op5_quality": quality.op5_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 
