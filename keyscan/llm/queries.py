@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, media, quality, simhash, toxicity, warc
+from . import bpe, media, mixing, ngrams, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op2_media_columns": media.op2_media_columns,
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
+    "op6_mixing": mixing.op6_mixing,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_stupid_backoff": ngrams.op9_stupid_backoff,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES = {"op1_warc_revisits": warc.ORACLE}
+ORACLES = {"op1_warc_revisits": warc.ORACLE, "op6_mixing": mixing.ORACLE, "op9_stupid_backoff": ngrams.ORACLE}
