@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, ngrams, quality, simhash, toxicity, warc
+from . import bpe, media, mixing, ngrams, quality, simhash, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_stupid_backoff": ngrams.op9_stupid_backoff,
     "op10_simhash": simhash.op10_simhash,
