@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, ngrams, quality, simhash, suffixes, toxicity, warc
+from . import bpe, media, mixing, neighbours, ngrams, quality, simhash, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op2_media_columns": media.op2_media_columns,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality.op5_quality,
     "op6_mixing": mixing.op6_mixing,

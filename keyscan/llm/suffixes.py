@@ -153,24 +153,44 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def aligned(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of a UTF-8 text shrunk to whole characters; those that hold none go."""
+    out = []
+    for a, b in ranges:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def _removed(characters: bool):
     kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-    for b in batches:
-        rows = []
-        for r in b.to_pylist():
-            spans = np.array([(x["first"] + s["lo"], x["first"] + s["hi"]) for x in r["found"] for s in x["ranges"]], np.int64).reshape(-1, 2)
-            ranges = merged(spans[:, 0], spans[:, 1])
-            rows.append((r["uid"], [{"lo": a, "hi": e} for a, e in ranges], without(r["payload"], ranges)))
-        if rows:
-            uid, ranges, kept = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(ranges, kind), pa.array(kept, pa.binary())], ["uid", "spans", "kept"])
-
-
-def repeats(payloads: DataFrame, width: int = WIDTH) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                spans = np.array([(x["first"] + s["lo"], x["first"] + s["hi"]) for x in r["found"] for s in x["ranges"]], np.int64).reshape(-1, 2)
+                ranges = merged(spans[:, 0], spans[:, 1])
+                if characters:
+                    ranges = aligned(r["payload"], ranges)
+                rows.append((r["uid"], [{"lo": a, "hi": e} for a, e in ranges], without(r["payload"], ranges)))
+            if rows:
+                uid, ranges, kept = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.binary()), pa.array(ranges, kind), pa.array(kept, pa.binary())], ["uid", "spans", "kept"])
+
+    return run
+
+
+def repeats(payloads: DataFrame, width: int = WIDTH, characters: bool = False) -> DataFrame:
     """``uid, spans, kept``: for each distinct payload that loses bytes, the byte spans and what is left.
 
     ``payloads`` has one binary column, ``payload``, a row a text, null as empty; a text that stands there twice loses
     everything if it has ``width`` bytes. ``uid`` is ``content_id(payload)``. Texts shorter than ``width`` lose nothing.
+    With ``characters`` spans are shrunk to whole UTF-8 characters, so that what is left is text. No rows: no rows.
     """
     spark = payloads.sparkSession
     small_batches(spark)
@@ -189,7 +209,18 @@ def repeats(payloads: DataFrame, width: int = WIDTH) -> DataFrame:
     ranges = contents.mapInArrow(_sorted_shard(width), "rid binary, ranges array<struct<lo:long,hi:long>>").groupBy("rid").agg(F.first("ranges").alias("ranges"))
     places = cut_runs.select("uid", "first", content_id(F.col("run")).alias("rid"))
     spans = places.join(ranges, "rid").groupBy("uid").agg(F.collect_list(F.struct("first", "ranges")).alias("found"))
-    return held.select("uid", "payload").join(spans, "uid").mapInArrow(_removed, "uid binary, spans array<struct<lo:long,hi:long>>, kept binary")
+    return held.select("uid", "payload").join(spans, "uid").mapInArrow(_removed(characters), "uid binary, spans array<struct<lo:long,hi:long>>, kept binary")
+
+
+def without_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with the repeated strings cut out of the column ``text``, whole characters only; a null text stays null.
+
+    Other columns and repeated rows stay as they are, whatever their names.
+    """
+    rows = docs.select(F.struct("*").alias("row"), content_id(utf8(F.col(text))).alias("doc_uid"))
+    lost = repeats(docs.select(utf8(F.col(text)).alias("payload")), width, characters=True).select("uid", F.col("kept").cast("string").alias("kept"))
+    out = rows.join(lost, F.col("doc_uid") == F.col("uid"), "left")
+    return out.select(*(F.coalesce("kept", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
