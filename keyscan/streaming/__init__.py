@@ -1,0 +1 @@
+"""Kept for streaming operators; record files are bounded and their size is fixed when opened, so there are none."""
