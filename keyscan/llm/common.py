@@ -1,58 +1,17 @@
-"""Session settings, shared storage and small helpers that the operators use."""
+"""Session settings and small helpers that the operators of this subpackage use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut, new_dir, ship
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where a session leaves it unset (local mode, tests) is a temporary folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table or archive in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there; survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    if (app := spark.sparkContext.applicationId) not in _shipped:
-        _shipped.add(app)
-        package = Path(__file__).resolve().parents[1]
-        out = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(out, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(out))
+__all__ = ["cut", "new_dir", "small_batches", "utf8"]
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows per Arrow batch, low because single texts can be very long."""
+    """Ship the package, and set the rows of an Arrow batch, low because single texts can be very long."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -60,9 +19,3 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly where one input file is a single large split; no key is involved."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
