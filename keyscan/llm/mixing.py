@@ -57,7 +57,9 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
             whole = own[d].agg(F.sum(F.pow("own", F.lit(power)))).first()[0] or 1.0
             aim = F.pow(mine, F.lit(power)) / whole
         rows = rows.withColumn(f"aim_{d}", aim * total)
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k and k % 4 == 0:
+            rows = cut(rows)  # plans of very many windows are slow to make
         for d in DIMENSIONS:
             now = F.sum("w").over(Window.partitionBy(d))
             rows = rows.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"aim_{d}") / now).otherwise(0.0))

@@ -175,7 +175,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     n = entries.count()
     share = min(1.0, SAMPLE / max(1, n))
     sample = entries.where(F.pmod(F.xxhash64("e", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("e").select("v").limit(2 * SAMPLE).toPandas()
-    x = np.array(sample["v"].tolist(), np.float64).reshape(len(sample), -1)
+    x = np.array(sample["v"].tolist(), np.float64).reshape(len(sample), width["d"] if width else 1)
     parts = max(1, len(x) // PART)
     router = fit(x, parts)
     probed = probes_for(router, x, k, recall)

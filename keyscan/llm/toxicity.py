@@ -188,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
         texts = [(r["k"], r["t"].encode("utf-8", "replace"), int(r["y"])) for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts))])], ["model"])
 
-    return pickle.loads(rows.mapInArrow(run, "model binary").first()[0])
+    made = rows.mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else train([])
 
 
 def with_toxicity(df: DataFrame, model: Model, text: str, *carry: str) -> DataFrame:
