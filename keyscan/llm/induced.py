@@ -214,30 +214,41 @@ def induce(x: np.ndarray, small: np.ndarray, stars: np.ndarray, shared: np.ndarr
     larger.close()
 
 
-def doubled(x: np.ndarray) -> np.ndarray:
-    """Suffixes in rising order, by prefix doubling in memory."""
-    n = len(x)
-    order = np.argsort(x, kind="stable")
-    rank = np.empty(n, np.int64)
-    step = 1
-    key = x.astype(np.int64)
+def doubled(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes in rising order, by prefix doubling in memory, and each position's rank by its first 1, 2, 4, ... symbols."""
+    n, step, key, ranks = len(x), 1, x.astype(np.int64), []
     while True:
-        sorted_key = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        if rank[order[-1]] == n - 1:
-            return order
-        next_rank = np.zeros(n, np.int64)
-        next_rank[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + next_rank
         order = np.argsort(key, kind="stable")
+        in_order = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
+        ranks.append(rank)
+        if rank[order[-1]] == n - 1:
+            return order, ranks
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - step)] = rank[step:] + 1
+        key = rank * (n + 1) + after
         step *= 2
 
 
-def sorted_stars(x: np.ndarray, small: np.ndarray, folder: str) -> np.ndarray:
-    """The star suffixes in rising order, by naming star substrings and recursion."""
+def common_names(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at a and b of a doubled string share: by falling powers of two."""
+    out, last = np.zeros(len(a), np.int64), len(ranks[0]) - 1
+    for k in range(len(ranks) - 1, -1, -1):
+        same = ranks[k][np.minimum(a + out, last)] == ranks[k][np.minimum(b + out, last)]
+        out += same.astype(np.int64) << k
+    return out
+
+
+def sorted_stars(x: np.ndarray, small: np.ndarray, folder: str, cap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The star suffixes in rising order, by naming star substrings and recursion; and what neighbours share, up to ``cap``.
+
+    What they share is the star substrings of the names that they share, and what the first two others have in common.
+    """
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    shared = np.zeros(len(star), np.int16)
     if len(star) < 2:
-        return star
+        return star, shared
     # an inducing pass over the unsorted stars sorts their substrings
     by_symbol = star[np.argsort(x[star], kind="stable")]
     found = [pos[_member(pos, small)] for pos, _ in induce(x, small, by_symbol, np.zeros(len(star), np.int16), folder, 1)]
@@ -259,12 +270,22 @@ def sorted_stars(x: np.ndarray, small: np.ndarray, folder: str) -> np.ndarray:
     names = np.empty(len(star), np.int64)
     names[rank_of[order]] = np.cumsum(~same) - 1
     if (~same).all():
-        return order
-    if len(names) <= IN_MEMORY:
-        return star[doubled(names)]
-    inner = os.path.join(folder, "names")
-    os.mkdir(inner)
-    return star[suffixes(names, inner)]
+        at, ranks = rank_of[order], [names]
+    elif len(names) <= IN_MEMORY:
+        at, ranks = doubled(names)
+    else:
+        inner = os.path.join(folder, "names")
+        os.mkdir(inner)
+        at, ranks = suffixes(names, inner), []
+    order = star[at]
+    if cap:
+        n = common_names(ranks, at[:-1], at[1:]) if ranks else np.zeros(len(at) - 1, np.int64)
+        known = np.minimum(star[at[:-1] + n] - order[:-1], cap)
+        more = known < cap
+        a, b = star[at[:-1] + n][more], star[at[1:] + n][more]
+        known[more] = np.minimum(known[more] + common(x, a, b, cap), cap)
+        shared[1:] = known
+    return order, shared
 
 
 def _member(pos: np.ndarray, small: np.ndarray) -> np.ndarray:
@@ -275,15 +296,12 @@ def _member(pos: np.ndarray, small: np.ndarray) -> np.ndarray:
 def suffixes(x: np.ndarray, folder: str) -> np.ndarray:
     """All suffixes in rising order; the last symbol of ``x`` must be its only smallest."""
     small = types(x)
-    stars = sorted_stars(x, small, folder)
+    stars, _ = sorted_stars(x, small, folder)
     return np.concatenate([pos for pos, _ in induce(x, small, stars, np.zeros(len(stars), np.int16), folder, 1)])[::-1]
 
 
 def falling(x: np.ndarray, folder: str, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes of ``x`` in falling order with what each shares, up to ``cap``, with the one before it."""
     small = types(x)
-    stars = sorted_stars(x, small, folder)
-    shared = np.zeros(len(stars), np.int16)
-    if len(stars) > 1:
-        shared[1:] = common(x, stars[:-1], stars[1:], cap)
+    stars, shared = sorted_stars(x, small, folder, cap)
     yield from induce(x, small, stars, shared, folder, cap)

@@ -14,12 +14,14 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import new_dir, small_batches, utf8
 from .induced import falling
@@ -72,7 +74,8 @@ def repeated(segments: list[bytes], copies: list[int], folder: str, width: int =
         x[at : at + len(s)] = np.frombuffer(s, np.uint8).astype(np.uint16) + 2
         x[at + len(s)] = 1
     x[n - 1] = 0
-    found = np.memmap(os.path.join(folder, "found"), np.uint8, "w+", shape=n)
+    x = np.asarray(x)  # still in the file
+    found = np.asarray(np.memmap(os.path.join(folder, "found"), np.uint8, "w+", shape=n))
     before = -1
     for pos, lcp in falling(x, folder, width):
         long = lcp >= width
@@ -102,12 +105,21 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _found_runs(width: int):
+    """Runs of each distinct text of a batch, with how often the text stands there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, made = b.column(0), [runs(np.frombuffer(v.as_buffer() or b"", np.uint8), width) for v in b.column(1)]
-            at = np.repeat(np.arange(len(made)), [len(k) for k, *_ in made])
+            uids = b.column(0).to_pylist()
+            times = Counter(uids)
+            rows = {uid: k for k, uid in enumerate(uids)}
+            made = [runs(np.frombuffer(b.column(1)[k].as_buffer() or b"", np.uint8), width) for k in rows.values()]
+            if not made:
+                continue
+            sizes = [len(k) for k, *_ in made]
             key, first, last = (np.concatenate(c) for c in zip(*made, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(at)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))], ["gram", "uid", "first", "last"])
+            at = np.repeat(np.fromiter(rows.values(), np.int64, len(rows)), sizes)
+            n = np.repeat(np.array([times[uid] for uid in rows], np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(at)), pa.array(first), pa.array(last), pa.array(n)], ["gram", "uid", "first", "last", "n"])
 
     return run
 
@@ -126,20 +138,33 @@ def _cut_runs(width: int):
 
 
 def _sorted_shard(width: int):
+    """A shard's repeated ranges. A run alone with its gram has no neighbours but its copies, and is not sorted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+        def rows(pairs: list) -> pa.RecordBatch:
+            ids = [hashlib.md5(s, usedforsecurity=False).digest() for s, _ in pairs]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([[{"lo": a, "hi": b} for a, b in r] for _, r in pairs], kind)], ["rid", "ranges"])
+
         segments, copies = [], []
         for b in batches:
-            segments += b.column(0).to_pylist()
-            copies += b.column(1).to_pylist()
+            whole = []
+            for s, n, alone in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if alone:
+                    whole += [(s, [(0, len(s))])] if n > 1 else []
+                else:
+                    segments.append(s)
+                    copies.append(n)
+            if whole:
+                yield rows(whole)
         if not segments:
             return
         with tempfile.TemporaryDirectory() as folder:
             ranges = repeated(segments, copies, folder, width)
-        for at in range(0, len(segments), 8192):
-            part = [(hashlib.md5(s, usedforsecurity=False).digest(), [{"lo": a, "hi": b} for a, b in r]) for s, r in zip(segments[at : at + 8192], ranges[at : at + 8192], strict=True) if r]
-            if part:
-                kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.binary()), pa.array([p[1] for p in part], kind)], ["rid", "ranges"])
+        found = [(s, r) for s, r in zip(segments, ranges, strict=True) if r]
+        for at in range(0, len(found), 8192):
+            yield rows(found[at : at + 8192])
 
     return run
 
@@ -195,9 +220,9 @@ def repeats(payloads: DataFrame, width: int = WIDTH, characters: bool = False) -
     spark = payloads.sparkSession
     small_batches(spark)
     texts = payloads.select(F.coalesce("payload", F.lit(b"")).alias("payload")).where(F.octet_length("payload") >= width).select(content_id(F.col("payload")).alias("uid"), "payload")
-    found = texts.mapInArrow(_found_runs(width), "gram long, uid binary, first long, last long")
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    by_text = found.join(twice, "gram", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("first", "last", "gram")).alias("runs"), F.count("*").alias("n"))
+    found = texts.mapInArrow(_found_runs(width), "gram long, uid binary, first long, last long, n long")
+    twice = found.groupBy("gram").agg(F.sum("n").alias("times")).where("times > 1").select("gram")
+    by_text = found.join(twice, "gram", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("first", "last", "gram")).alias("runs"), F.sum("n").alias("n"))
     held = texts.join(by_text, "uid").groupBy("uid").agg(F.first("payload").alias("payload"), F.first("runs").alias("runs"), F.first("n").alias("n"))
     path = new_dir(spark, "repeats")
     held.select("uid", "payload", "runs", (F.col("n") / F.size("runs")).cast("long").alias("copies")).write.parquet(path)
@@ -205,7 +230,8 @@ def repeats(payloads: DataFrame, width: int = WIDTH, characters: bool = False) -
     cut_runs = held.mapInArrow(_cut_runs(width), "gram long, uid binary, first long, run binary, copies long")
     size = held.select(F.explode("runs").alias("r")).agg(F.sum(F.col("r.last") - F.col("r.first") + width)).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
-    contents = cut_runs.groupBy("gram", "run").agg(F.sum("copies").alias("copies")).repartition(shards, "gram").select("run", "copies")
+    contents = cut_runs.groupBy("gram", "run").agg(F.sum("copies").alias("copies")).repartition(shards, "gram")
+    contents = contents.select("run", "copies", (F.count("*").over(Window.partitionBy("gram")) == 1).alias("alone"))
     ranges = contents.mapInArrow(_sorted_shard(width), "rid binary, ranges array<struct<lo:long,hi:long>>").groupBy("rid").agg(F.first("ranges").alias("ranges"))
     places = cut_runs.select("uid", "first", content_id(F.col("run")).alias("rid"))
     spans = places.join(ranges, "rid").groupBy("uid").agg(F.collect_list(F.struct("first", "ranges")).alias("found"))
