@@ -124,7 +124,7 @@ class Merges:
 
     def stands(self, a: int, b: int) -> bool:
         """Whether token b can follow token a: no merge across their border comes before those that made them."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         found = self.known[a, b] = self._stands(a, b)
         return found

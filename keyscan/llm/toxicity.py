@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: At most so many labelled texts of each class train the dictionaries and the threshold.
-SAMPLE = {1: 3000, 0: 9000}
+SAMPLE = {1: 3000, 0: 6000}
 WORDS, GRAM, LEVEL = 8, 5, 3
 MARKS = b".,;:!?'\"()*#%$&|"
 BASE_BYTES, NEAR_BYTES, TOXIC_BYTES = 48 << 10, 48 << 10, 8 << 10
+#: Ordinary texts of the sample, evenly taken, whose words are compared with what toxic text adds.
+NEAR_TEXTS = 2000
 #: A word that toxic text adds stands in so many contexts there, at so many times the ordinary rate, and with so large a
 #: log-likelihood ratio.
 CONTEXTS, TIMES, SIGNIFICANT = 3, 5, 18
@@ -40,25 +42,31 @@ def windows(text: bytes) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + WORDS]) + b" " for i in range(0, len(w), WORDS)] or [b" "]
 
 
-def contexts(texts: list[bytes]) -> tuple[Counter, int]:
-    """In how many distinct contexts (words before and after) each word stands, and how many contexts there are."""
+def contexts(texts: list[bytes], only: set[bytes] | None = None) -> tuple[Counter, int]:
+    """In how many distinct contexts (words before and after) each word stands, and how many contexts there are in all.
+
+    With ``only``, no other words are counted; the number in all is the same.
+    """
     seen: dict[bytes, set[int]] = defaultdict(set)
+    every = [np.empty(0, np.int64)]
     for t in texts:
         words = t.split()
-        for a, w, b in zip([b"", *words], words, [*words[1:], b""], strict=False):
-            seen[w.strip(MARKS)].add(hash((a, b)))
-    seen.pop(b"", None)
-    found = Counter({w: len(c) for w, c in seen.items()})
-    return found, sum(found.values())
+        stands = [hash(x) for x in zip([b"", *words], words, [*words[1:], b""], strict=False)]
+        every.append(np.array(stands, np.int64))
+        for w, at in zip(words, stands, strict=True):
+            w = w.strip(MARKS)
+            if w and (only is None or w in only):
+                seen[w].add(at)
+    return Counter({w: len(c) for w, c in seen.items()}), len(np.unique(np.concatenate(every)))
 
 
 def added(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Words that toxic texts add, most frequent first: by the log-likelihood ratio of their two rates."""
-    (one, n1), (zero, n0) = contexts(toxic), contexts(ordinary)
+    one, n1 = contexts(toxic)
+    one = {w: n for w, n in one.items() if n >= CONTEXTS}
+    zero, n0 = contexts(ordinary, set(one))
     out = []
     for w, a in one.items():
-        if a < CONTEXTS:
-            continue
         b = zero[w]
         share = (a + b) / (n1 + n0)
         ratio = 2 * (a * math.log(a / (n1 * share)) + (b * math.log(b / (n0 * share)) if b else 0.0))
@@ -119,7 +127,7 @@ def dictionaries(texts: list[tuple[bytes, int]]) -> Model:
     words = added([t for t, y in texts if y], plain)
     toxic, known = _joined(words, TOXIC_BYTES), set(words)
     shared = set().union(*map(grams, words)) if words else set()
-    common = Counter(x for t in plain for w in t.split() if (x := w.strip(MARKS)))
+    common = Counter(x for t in plain[:: max(1, len(plain) // NEAR_TEXTS)] for w in t.split() if (x := w.strip(MARKS)))
     near = _joined([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if not shared.isdisjoint(grams(w)) and w not in known], NEAR_BYTES)
     step = max(1, len(plain) // 64)
     base = b"".join((b" " + b" ".join(t.split()))[: BASE_BYTES // 64] for t in plain[::step])[:BASE_BYTES]
