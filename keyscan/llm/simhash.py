@@ -25,22 +25,32 @@ from pyspark.sql.window import Window
 from .common import cut, small_batches
 
 SPLIT_BITS = 6
+#: A subtrie of at least so many fingerprints, and of at most 4 to the power of the budget, is compared directly: on its
+#: dense levels a pair differs in half of the bits, so that the walk would drop next to none.
+DIRECT = 64
+#: Texts of one candidate group that are held against each other at once.
+GROUP = 512
 #: Node pairs that are followed at once.
 FRONTIER = 1 << 17
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Majority bits of XXH64 (seed 42) over the word shingles of a text, A-Z lower-cased; no word: 0."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``width`` words, A-Z lower-cased; of all words if they are fewer; no word: none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
     joined, n = b" ".join(words), len(words)
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)] if n else [], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Majority bits of the shingles of a text; a single shingle is the fingerprint itself; no word: 0."""
+    hashes = shingles(text, width)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -79,19 +89,29 @@ class Forest:
                 p[:] = q
 
 
-def trie_join(values: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, bits: int, budget: int) -> np.ndarray:
+def trie_join(values: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, bits: int, budget: int, second: np.ndarray | None = None, within: int = 64) -> np.ndarray:
     """The forest of links of many subtries at once.
 
     ``values``: uint64, sorted and distinct within each subtrie, which spans ``lo:hi``; its fingerprints agree above
     the lowest ``bits`` bits. Where ``lo < mid < hi`` the first part's fingerprints are joined to the second's alone,
-    both parts having their own bits above; else all are joined with all.
+    both parts having their own bits above; else all are joined with all. Linked fingerprints have ``second`` values that
+    differ in ``within`` bits at most.
     """
     forest = Forest(len(values))
+    second = values if second is None else second
     two = (lo < mid) & (mid < hi)
     top = np.uint64((1 << bits) - 1)
     used = np.where(two, np.bitwise_count((values[lo] & ~top) ^ (values[np.minimum(mid, len(values) - 1)] & ~top)), 0)
     start = np.stack([lo, np.where(two, mid, hi), np.where(two, mid, lo), hi, budget - used.astype(np.int64)])
-    stack = [(bits - 1, start[:, start[4] >= 0])]
+    start = start[:, start[4] >= 0]
+    size = start[3] - start[0]
+    direct = (size >= DIRECT) & (size <= 4**budget)
+    for a0, a2, b0, b2, _ in start[:, direct].T.tolist():
+        near = [np.flatnonzero(np.bitwise_count(values[max(a + 1, b0) : b2] ^ values[a]) <= budget) + max(a + 1, b0) for a in range(a0, a2)]
+        a, b = np.repeat(np.arange(a0, a2), list(map(len, near))), np.concatenate(near)
+        near = np.bitwise_count(second[a] ^ second[b]) <= within
+        forest.link(a[near], b[near])
+    stack = [(bits - 1, start[:, ~direct])]
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, pairs = stack.pop()
@@ -102,7 +122,7 @@ def trie_join(values: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarra
         # pairs of single fingerprints need no further walk
         single = (pairs[1] - pairs[0] == 1) & (pairs[3] - pairs[2] == 1)
         a, b = pairs[0, single], pairs[2, single]
-        near = (np.bitwise_count(values[a] ^ values[b]) <= budget) & (a != b)
+        near = (np.bitwise_count(values[a] ^ values[b]) <= budget) & (np.bitwise_count(second[a] ^ second[b]) <= within) & (a != b)
         forest.link(a[near], b[near])
         pairs = pairs[:, ~single]
         if not pairs.shape[1] or bit < 0:
@@ -129,13 +149,13 @@ def blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _joined(budget: int, after_split: bool):
+def _joined(budget: int, after_split: bool, within: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def solve(rows: np.ndarray) -> pa.RecordBatch:
-            """rows: trie, group, side, value; whole groups only."""
+            """rows: trie, group, side, value, second value; whole groups only."""
             new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
             edges = []
             for trie, (turn, depth) in enumerate(blocks(budget)):
@@ -148,7 +168,7 @@ def _joined(budget: int, after_split: bool):
                 mid = stop - (ones[stop] - ones[start])
                 values = r[:, 3].copy().view(np.uint64)
                 bits = 64 - depth - (SPLIT_BITS if after_split else 0)
-                parent = trie_join(values, start, mid, stop, bits, budget)
+                parent = trie_join(values, start, mid, stop, bits, budget, r[:, 4].copy().view(np.uint64), within)
                 child = np.flatnonzero(parent != np.arange(len(parent)))
                 back = lambda v, t=turn: v if not t else (v >> np.uint64(t)) | (v << np.uint64(64 - t))
                 edges.append(np.stack([back(values[child]), back(values[parent[child]])]))
@@ -171,20 +191,21 @@ def _joined(budget: int, after_split: bool):
     return run
 
 
-def links(fps: DataFrame, budget: int = 2, split_over: int = 20_000) -> DataFrame:
+def links(fps: DataFrame, budget: int = 2, split_over: int = 20_000, within: int | None = None) -> DataFrame:
     """``a, b``: links that connect just what the pairs of distinct fingerprints ``fp`` within the budget connect.
 
-    A subtrie of over ``split_over`` fingerprints is followed further before it is dealt out. Nulls take no part.
+    With ``within``, only pairs whose other fingerprints ``fp2`` differ in so many bits at most. A subtrie of over
+    ``split_over`` fingerprints is followed further before it is dealt out. Nulls take no part.
     """
     small_batches(fps.sparkSession, 50_000)
     turned = [
         F.struct(F.lit(k).cast("long").alias("trie"), (F.col("fp") if not turn else F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn))).alias("value"), F.lit(64 - depth).alias("below"))
         for k, (turn, depth) in enumerate(blocks(budget))
     ]
-    rows = fps.where("fp is not null").select(F.explode(F.array(*turned)).alias("x")).select("x.*")
+    rows = fps.where("fp is not null").select(F.explode(F.array(*turned)).alias("x"), F.col("fp" if within is None else "fp2").alias("second")).select("x.*", "second")
     rows = rows.withColumn("node", F.expr("shiftrightunsigned(value, below)"))
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("trie", "node"))).where("n > 1")
-    whole = rows.where(F.col("n") <= split_over).select("trie", "node", F.lit(0).cast("long").alias("side"), "value")
+    whole = rows.where(F.col("n") <= split_over).select("trie", "node", F.lit(0).cast("long").alias("side"), "value", "second")
     child = F.expr(f"shiftrightunsigned(value, below - {SPLIT_BITS}) & {(1 << SPLIT_BITS) - 1}")
     near = [m for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget]
     parts = (
@@ -196,11 +217,12 @@ def links(fps: DataFrame, budget: int = 2, split_over: int = 20_000) -> DataFram
             (F.col("node") * (1 << (2 * SPLIT_BITS)) + F.least("child", "other") * (1 << SPLIT_BITS) + F.greatest("child", "other")).alias("node"),
             (F.col("child") > F.col("other")).cast("long").alias("side"),
             "value",
+            "second",
         )
     )
     unsigned = F.col("value").bitwiseXOR(F.lit(-(1 << 63)))
     found = [
-        part.repartition("trie", "node").sortWithinPartitions("trie", "node", "side", unsigned).mapInArrow(_joined(budget, split), "a long, b long")
+        part.repartition("trie", "node").sortWithinPartitions("trie", "node", "side", unsigned).mapInArrow(_joined(budget, split, 64 if within is None else within), "a long, b long")
         for part, split in ((whole, False), (parts, True))
     ]
     return found[0].unionByName(found[1])
@@ -252,6 +274,85 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, budget:
     return docs.join(label, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect just what the pairs of sets of a Jaccard similarity of ``least`` or more connect."""
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.full(len(times), -1)
+    shared[times > 1] = np.arange(int((times > 1).sum()))
+    column, both = shared[at], np.zeros((len(sets), len(sets)), np.float32)
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int((times > 1).sum()), 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[a:b], column[a:b] - first] = 1
+        both += has @ has.T
+    union = n[:, None] + n[None, :] - both
+    forest = Forest(len(sets))
+    forest.link(*np.nonzero(np.triu((both > 0) & (both >= least * union - 1e-3), 1)))
+    child = np.flatnonzero(forest.parent != np.arange(len(sets)))
+    return child, forest.parent[child]
+
+
+def similar(df: DataFrame, key: str, text: str, budget: int = 16, within: int = 20, words: int = 5, least: float = 0.8) -> DataFrame:
+    """``key, component_id``: the smallest key that pairs of texts with a similarity of ``least`` or more reach.
+
+    The similarity is Jaccard's, exact, over runs of ``words`` words. Candidates are groups of texts linked by pairs of
+    fingerprints of three words within the budget whose fingerprints of ``words`` words lie within ``within`` bits; in
+    each, every text is held against every other, in blocks of ``GROUP`` where it is large. Fingerprints are drawn by
+    hashes, so a pair can lie outside both budgets by chance; of the pairs at 0.8 or more in the samples none does.
+    Texts of the same words are linked, empty and null ones too. Rows and keys are treated as in ``near_duplicates``.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"))
+
+    def same(t: str | None) -> int:
+        """Of the words: equal for texts with equal shingles in order."""
+        return xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split()))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            made = [pa.array(np.array([f(t) for t in texts], np.uint64).view(np.int64)) for f in (fingerprint, lambda t: fingerprint(t, words), same)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["key", "fp", "fp2", "u"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each distinct text of the partition."""
+        seen = set()
+        for b in batches:
+            found = {}
+            for t in b.column(1).to_pylist():
+                if (u := same(t)) not in seen:
+                    seen.add(u)
+                    found[u] = t
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.string())], ["u", "t"])
+
+    def verified(table: pa.Table) -> pa.Table:
+        u = table.column("u").to_numpy()
+        a, b = alike([np.unique(shingles(t, words)) for t in table.column("t").to_pylist()], least)
+        return pa.table({"a": u[a], "b": u[b]})
+
+    docs = cut(rows.mapInArrow(marked, "key long, fp long, fp2 long, u long"))
+    distinct = docs.groupBy("fp", "u").agg(F.min("key").alias("least"), F.min("fp2").alias("fp2"))
+    roots = components(links(distinct.groupBy("fp").agg(F.min("fp2").alias("fp2")), budget, 1 << 17, within))
+    named = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("u", "least", F.coalesce("root", "fp").alias("root")))
+    small_batches(spark)
+    many = named.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    wanted = named.join(many, "root").select("u", "root", "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("own"))
+    texts = rows.mapInArrow(once, "u long, t string").join(wanted, "u").groupBy("u", "root", "blocks", "own").agg(F.first("t").alias("t"))
+    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.where((F.col("blocks") < 2) | (F.col("own") != F.col("other")))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "t")
+    tree = components(dealt.groupBy("root", "i", "j").applyInArrow(verified, "a long, b long"))
+    joined = named.join(tree, F.col("u") == F.col("node"), "left").select("u", "least", F.coalesce(tree["root"], F.col("u")).alias("top"))
+    label = joined.join(joined.groupBy("top").agg(F.min("least").alias("component_id")), "top").select("u", "component_id")
+    return docs.join(label, "u").select(F.col("key").alias(key), "component_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -431,3 +431,31 @@ def test_pipeline_stages(spark):
     assert short.where("n_chars <> length(text)").count() == 0
     assert p.mixed(spark, short, SF).columns == docs.columns
     assert p.run(spark, SF).where("n_tokens <> size(ids)").count() == 0
+
+
+def test_pipeline_drops_edited_copies_and_keeps_clean_documents(spark, monkeypatch):
+    """Held against brute force: every pair with a five-word similarity of 0.8 or more is linked, and no other."""
+    import corpus_pipeline as p
+
+    rnd, texts = random.Random(12), []
+    for _ in range(30):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        texts.append(" ".join(words))
+        for n in (2, 5, 9, 25, 60):
+            copy = list(words)
+            for k in rnd.sample(range(300), n):
+                copy[k] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), "", None, "one two", "One  two"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in p.near_copies_out(spark, docs, SF).collect()} == set(root)
+    monkeypatch.setattr(simhash, "GROUP", 2)
+    monkeypatch.setattr(simhash, "DIRECT", 1 << 30)
+    assert {r["doc_id"] for r in p.near_copies_out(spark, docs, SF).collect()} == set(root)
