@@ -87,6 +87,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: Column
     )
 
 
+def copies(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each row of ``mix`` as often as its weight: the whole part of it, and once more by a hash of the key for the rest."""
+    draw = hashed(F.concat(F.lit("copy:"), F.coalesce(F.col(f"row.{key}").cast("string"), F.lit("")))) / F.lit(float(1 << 32))
+    n = (F.floor("weight") + (draw < F.col("weight") - F.floor("weight")).cast("int")).cast("int")
+    return mixed.select("*", F.explode(F.sequence(F.lit(1), n)).alias("copy"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     return mix(docs).select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"))

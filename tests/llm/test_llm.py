@@ -459,3 +459,20 @@ def test_pipeline_drops_edited_copies_and_keeps_clean_documents(spark, monkeypat
     monkeypatch.setattr(simhash, "GROUP", 2)
     monkeypatch.setattr(simhash, "DIRECT", 1 << 30)
     assert {r["doc_id"] for r in p.near_copies_out(spark, docs, SF).collect()} == set(root)
+
+
+def test_pipeline_mixes_to_the_target_shares(spark):
+    import corpus_pipeline as p
+
+    rows = [(k, f"{'abcdefgh'[k % 8]}{k % 3} " + "w " * (k % 7 + 1), "de" if k % 6 == 0 else "en", "small" if k % 11 == 0 else "big") for k in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    size, topic = mixing.tokens_of(F.col("text")).alias("n"), mixing.topic_of(F.col("text")).alias("topic")
+    sums = lambda df, d: {r[0]: r[1] for r in df.select("source", "lang", topic, size).groupBy(d).agg(F.sum("n")).collect()}
+    out = p.mixed(spark, docs, SF)
+    assert out.columns == docs.columns
+    for d in mixing.DIMENSIONS:
+        before, after = sums(docs, d), sums(out, d)
+        aims = {v: n**mixing.POWER for v, n in before.items()}
+        assert abs(sum(after.values()) / sum(before.values()) - 1) < 0.03
+        for v, aim in aims.items():
+            assert abs(after[v] / sum(after.values()) - aim / sum(aims.values())) < 0.015
