@@ -1,6 +1,6 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the same base with what toxic text adds.
+Two zstandard dictionaries of raw content are built: one of ordinary text, one of the same base with what toxic text adds.
 A text is cut into windows of a few words, white space between them made one space; each window is compressed
 with both, and the bytes that the toxic dictionary saves are its evidence. A text's largest savings and its
 number of windows give a score by a logistic curve, calibrated on labelled texts that trained neither dictionary.
@@ -15,6 +15,7 @@ import math
 import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,10 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: At most so many labelled texts of each class train the dictionaries and the threshold.
-SAMPLE = {1: 3000, 0: 6000}
+SAMPLE = {1: 3000, 0: 9000}
 WORDS, GRAM, LEVEL = 8, 5, 3
 MARKS = b".,;:!?'\"()*#%$&|"
 BASE_BYTES, NEAR_BYTES, TOXIC_BYTES = 48 << 10, 48 << 10, 8 << 10
-#: Ordinary texts of the sample, evenly taken, whose words are compared with what toxic text adds.
-NEAR_TEXTS = 2000
 #: A word that toxic text adds stands in so many contexts there, at so many times the ordinary rate, and with so large a
 #: log-likelihood ratio.
 CONTEXTS, TIMES, SIGNIFICANT = 3, 5, 18
@@ -127,8 +126,9 @@ def dictionaries(texts: list[tuple[bytes, int]]) -> Model:
     words = added([t for t, y in texts if y], plain)
     toxic, known = _joined(words, TOXIC_BYTES), set(words)
     shared = set().union(*map(grams, words)) if words else set()
-    common = Counter(x for t in plain[:: max(1, len(plain) // NEAR_TEXTS)] for w in t.split() if (x := w.strip(MARKS)))
-    near = _joined([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0])) if not shared.isdisjoint(grams(w)) and w not in known], NEAR_BYTES)
+    looks_toxic = lru_cache(1 << 16)(lambda w: not shared.isdisjoint(grams(w)))
+    common = Counter(x for t in plain for w in t.split() if (x := w.strip(MARKS)) and x not in known and looks_toxic(x))
+    near = _joined([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))], NEAR_BYTES)
     step = max(1, len(plain) // 64)
     base = b"".join((b" " + b" ".join(t.split()))[: BASE_BYTES // 64] for t in plain[::step])[:BASE_BYTES]
     return Model(base + near or b" ", toxic or b" ", [0.0] * 4)

@@ -476,3 +476,14 @@ def test_pipeline_mixes_to_the_target_shares(spark):
         assert abs(sum(after.values()) / sum(before.values()) - 1) < 0.03
         for v, aim in aims.items():
             assert abs(after[v] / sum(after.values()) - aim / sum(aims.values())) < 0.015
+
+
+# Ties and whole samples
+
+
+def test_toxicity_counts_words_of_every_ordinary_text():
+    rnd = random.Random(3)
+    plain = [f"{prose(rnd, 6)} {'grumblefroth' if k % 10 == 1 else 'mu'} {prose(rnd, 2)}".encode() for k in range(4200)]
+    toxic = [f"{prose(rnd, 4)} grumblefrotz {prose(rnd, 4)}".encode() for _ in range(60)]
+    model = toxicity.dictionaries([(t, 0) for t in plain] + [(t, 1) for t in toxic])
+    assert b" grumblefrotz " in model.toxic and b" grumblefroth " in model.base
