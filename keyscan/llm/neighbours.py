@@ -24,6 +24,8 @@ SAMPLE, GRAPH, PART = 16_384, 10, 128
 #: and entries of a part in one block.
 RECALL, TRIALS, BLOCK = 0.96, 512, 8192
 K = 20
+#: Pairs of vectors that are multiplied at once.
+PAIRS = 1 << 14
 
 
 def graph(x: np.ndarray, k: int = GRAPH) -> np.ndarray:
@@ -203,19 +205,23 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
         if not q.num_rows or not c.num_rows:
             return pa.table({m: pa.array([], t) for m, t in zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
         qv, cv, ids = _matrix(q.column("v").combine_chunks()), _matrix(c.column("v").combine_chunks()), c.column("e").to_numpy()
-        keep = min(len(ids), k + 12)
+        keep = min(len(ids), k + 1)
+        longest = np.sqrt((cv**2).sum(1).max())
         out = [[], [], []]
         for at in range(0, len(qv), 256):
             part = qv[at : at + 256]
             rough = part @ cv.T
-            best = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
+            least = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
+            # all that rounding may have put below it; ties are many at times
+            slack = 4 * cv.shape[1] * np.finfo(np.float64).eps * np.sqrt((part**2).sum(1)) * longest
+            row, best = np.nonzero(rough >= (least - slack)[:, None])
             # each product again, summed in one fixed order, so that equal vectors score alike wherever they stand
-            exact = (part[:, None, :] * cv[best]).sum(-1)
-            order = np.lexsort((ids[best], -exact), axis=1)[:, : k + 1]
-            best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
-            out[0].append(np.repeat(q.column("e").to_numpy()[at : at + 256], best.shape[1]))
-            out[1].append(ids[best].reshape(-1))
-            out[2].append(exact.reshape(-1))
+            exact = np.concatenate([(part[row[a : a + PAIRS]] * cv[best[a : a + PAIRS]]).sum(-1) for a in range(0, len(row), PAIRS)])
+            order = np.lexsort((ids[best], -exact, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < keep]
+            out[0].append(q.column("e").to_numpy()[at : at + 256][row[order]])
+            out[1].append(ids[best[order]])
+            out[2].append(exact[order])
         return pa.table(dict(zip(names, (np.concatenate(o) for o in out), strict=True)))
 
     found = queries.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(rerank, "q long, e long, score double")

@@ -481,6 +481,14 @@ def test_pipeline_mixes_to_the_target_shares(spark):
 # Ties and whole samples
 
 
+def test_neighbours_keep_the_smallest_ids_of_many_ties(spark):
+    v = spark.createDataFrame([(99 - k, [float(k == j) for j in range(100)]) for k in range(100)], "vec_id bigint, embedding array<double>")
+    by = {}
+    for r in neighbours.search(v, F.lit(True)).orderBy("query_id", "rank").collect():
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert by == {q: [k for k in range(21) if k != q][:20] for q in range(100)}
+
+
 def test_toxicity_counts_words_of_every_ordinary_text():
     rnd = random.Random(3)
     plain = [f"{prose(rnd, 6)} {'grumblefroth' if k % 10 == 1 else 'mu'} {prose(rnd, 2)}".encode() for k in range(4200)]
