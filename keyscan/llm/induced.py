@@ -9,7 +9,8 @@ one more than the least length shared between those that pushed them, so tuples
 both passes.
 
 Everything with an entry a suffix (text, types, stars, names, order, spilled tuples) lies in files of one folder, mapped
-and worked on in stretches; memory holds ``QUEUED`` tuples, a few stretches of ``SCANNED``, and ``IN_MEMORY`` names.
+and worked on in stretches; memory holds, for each level of the recursion, ``QUEUED`` tuples and a few stretches of
+``SCANNED``, and at the last one ``IN_MEMORY`` names. Each level's names cover twice as much text as the one before.
 """
 
 from __future__ import annotations
@@ -58,12 +59,14 @@ class DiskQueue:
             self._spill()
 
     def _spill(self) -> None:
+        at = self.file.seek(0, os.SEEK_END)
         for parts in self.parts.values():
-            for k, part in enumerate(parts):
-                if isinstance(part[0], np.ndarray):
-                    at = self.file.seek(0, os.SEEK_END)
-                    self.file.write(part[0].tobytes() + part[1].tobytes())
-                    parts[k] = (at, len(part[0]))
+            first = next((k for k, part in enumerate(parts) if isinstance(part[0], np.ndarray)), len(parts))
+            if first < len(parts):  # those in memory come last; they become one part
+                pos, lcp = (np.concatenate(c) for c in zip(*parts[first:], strict=True))
+                at_next = at + self.file.write(pos.tobytes()) + self.file.write(lcp.tobytes())
+                parts[first:] = [(at, len(pos))]
+                at = at_next
         self.inside = 0
 
     def pop(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

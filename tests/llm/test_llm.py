@@ -322,30 +322,6 @@ def test_repeats_match_brute_force(spark, monkeypatch, width, hot):
         assert got == (n, spans, kept)
 
 
-def test_induced_sorting_keeps_memory_bounded(monkeypatch):
-    """Texts of one and of four times a size, both over the limit, take about the same memory; mapped files do not count."""
-    import tracemalloc
-
-    for name, n in (("IN_MEMORY", 1 << 12), ("QUEUED", 1 << 13), ("SCANNED", 1 << 12)):
-        monkeypatch.setattr(induced, name, n)
-    rnd, peaks = np.random.default_rng(5), []
-    for n in (100_000, 400_000):
-        passage = rnd.integers(2, 20, 5000)
-        x = np.concatenate([np.where(rnd.random(5000) < 0.01, rnd.integers(2, 20, 5000), passage) for _ in range(n // 5000)] + [[0]]).astype(np.uint16)
-        last, held = -1, 0
-        tracemalloc.start()
-        with tempfile.TemporaryDirectory() as d:
-            for pos, _ in induced.falling(x, d, 50):
-                held += len(pos)
-                if last >= 0:  # in falling order, to 60 symbols
-                    assert x[last : last + 60].tolist() >= x[pos[0] : pos[0] + 60].tolist()
-                last = int(pos[-1])
-        peaks.append(tracemalloc.get_traced_memory()[1])
-        tracemalloc.stop()
-        assert held == len(x)
-    assert peaks[1] < 2 * peaks[0] and peaks[1] < 6 << 20
-
-
 def test_repeats_leave_text_and_other_columns(spark):
     docs = odd_docs(spark)
     out = suffixes.without_repeats(docs)
