@@ -1,12 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of raw content are built: one of ordinary text, one of the same base with what toxic text adds.
-A text is cut into windows of a few words, white space between them made one space; each window is compressed
-with both, and the bytes that the toxic dictionary saves are its evidence. A text's largest savings and its
-number of windows give a score by a logistic curve, calibrated on labelled texts that trained neither dictionary.
-
-What toxic text adds: words that stand in several distinct contexts in toxic training texts (copies of one text are
-one context) and significantly less often, word for word, in ordinary ones.
+Zstandard dictionaries are trained on samples of ordinary and of toxic text, each by itself. A text is cut into windows of
+a few words, white space between them made one space; each window is compressed with the ordinary dictionary, and with it
+and the toxic one together, and the bytes that the toxic dictionary saves are its evidence. A text's largest savings and
+its number of windows give a score by a logistic curve, calibrated on labelled texts that trained neither dictionary.
+
+The ordinary dictionary is trained on the windows of whole ordinary texts, and on their words that share byte grams with
+what toxic text adds, which would look like it otherwise. The toxic one is trained on the words of toxic texts that stand
+in several distinct contexts there (copies of one text are one context) and significantly less often, word for word, in
+ordinary texts: trained on all that toxic texts hold, a dictionary learns what every text holds.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from .common import small_batches
 
 #: At most so many labelled texts of each class train the dictionaries and the threshold.
 SAMPLE = {1: 3000, 0: 9000}
-WORDS, GRAM, LEVEL = 8, 5, 3
+WORDS, GRAM, LEVEL = 6, 5, 3
 MARKS = b".,;:!?'\"()*#%$&|"
-BASE_BYTES, NEAR_BYTES, TOXIC_BYTES = 48 << 10, 48 << 10, 8 << 10
+#: Bytes of each trained dictionary, and the lengths of the segments and of the strings counted in them (COVER's k and d).
+ORDINARY_BYTES, NEAR_BYTES, TOXIC_BYTES = 48 << 10, 32 << 10, 4 << 10
+SEGMENT, COUNTED = 64, {"windows": 6, "words": 8}
 #: A word that toxic text adds stands in so many contexts there, at so many times the ordinary rate, and with so large a
 #: log-likelihood ratio.
 CONTEXTS, TIMES, SIGNIFICANT = 3, 5, 18
@@ -116,53 +120,57 @@ def grams(word: bytes) -> set[bytes]:
     return {x[i : i + GRAM] for i in range(max(1, len(x) - GRAM + 1))}
 
 
+def trained(samples: list[bytes], size: int, counted: int) -> bytes:
+    """A dictionary of at most ``size`` bytes, trained on the samples; too few for training are taken as they are."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=counted, f=20, split_point=1.0, accel=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(reversed(dict.fromkeys(samples)))[-size:]
+
+
 def dictionaries(texts: list[tuple[bytes, int]]) -> Model:
-    """Both dictionaries from texts of both classes.
+    """Both dictionaries from whole texts of both classes."""
+    plain, bad = ([t for t, y in texts if y == k] for k in (0, 1))
+    known = set(added(bad, plain))
+    shared = set().union(*map(grams, known)) if known else set()
+    looks_toxic = lru_cache(1 << 16)(lambda w: w not in known and not shared.isdisjoint(grams(w)))
+    words = lambda some, wanted: [b" " + x + b" " for t in some for w in t.split() if (x := w.strip(MARKS)) and wanted(x)]
+    base = trained([x for t in plain for x in windows(t) if len(x) >= 8], ORDINARY_BYTES, COUNTED["windows"])
+    near = trained(words(plain, looks_toxic), NEAR_BYTES, COUNTED["words"])
+    return Model(base + near or b" ", trained(words(bad, known.__contains__), TOXIC_BYTES, COUNTED["words"]) or b" ", [0.0] * 4)
 
-    The base holds stretches of ordinary texts, and the ordinary words that share byte grams with what toxic text adds,
-    most frequent last: they would otherwise look like it.
-    """
-    plain = [t for t, y in texts if not y]
-    words = added([t for t, y in texts if y], plain)
-    toxic, known = _joined(words, TOXIC_BYTES), set(words)
-    shared = set().union(*map(grams, words)) if words else set()
-    looks_toxic = lru_cache(1 << 16)(lambda w: not shared.isdisjoint(grams(w)))
-    common = Counter(x for t in plain for w in t.split() if (x := w.strip(MARKS)) and x not in known and looks_toxic(x))
-    near = _joined([w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))], NEAR_BYTES)
-    step = max(1, len(plain) // 64)
-    base = b"".join((b" " + b" ".join(t.split()))[: BASE_BYTES // 64] for t in plain[::step])[:BASE_BYTES]
-    return Model(base + near or b" ", toxic or b" ", [0.0] * 4)
-
-
-def _joined(words: list[bytes], size: int) -> bytes:
-    """Words with their spaces, as many of the first as fit, the first one last."""
-    kept, used = [], 0
-    for w in words:
-        if used + len(w) + 2 > size:
-            break
-        kept.append(b" " + w + b" ")
-        used += len(w) + 2
-    return b"".join(reversed(kept))
 
+#: The parts of training, which need nothing of each other: each half learns for the other, and all texts together.
+PARTS = (0, 1, 2)
 
-def train(texts: list[tuple[int, bytes, int]]) -> Model:
-    """From (key, text, label): dictionaries from all, the curve from halves whose dictionaries the other half made.
 
-    Without texts of both classes in both halves the score is the share of toxic ones, 0 if there are none at all.
+def flat(texts: list[tuple[bytes, int]]) -> Model:
+    """The score is the share of toxic texts, 0 if there are none at all."""
+    share = sum(y for _, y in texts) / max(1, len(texts))
+    return Model(b" ", b" ", [math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0, 0.0])
+
+
+def part(texts: list[tuple[int, bytes, int]], which: int):
+    """One part of training from (key, text, label): features and labels of the half that did not learn, or a model.
+
+    Without texts of both classes in both halves there is nothing to tune, and the model is flat.
     """
-    share = sum(y for *_, y in texts) / max(1, len(texts))
-    flat = Model(b" ", b" ", [math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0, 0.0])
     ordered = [(t.lower(), y) for _, t, y in sorted(texts, key=lambda x: (x[2], x[0]))]
     halves = [ordered[0::2], ordered[1::2]]
-    if any(len({y for _, y in h}) < 2 for h in halves):
-        return flat
-    x, y = [], []
-    for learn, tune in (halves, halves[::-1]):
-        part = dictionaries(learn)
-        x += [features(part.savings(t)) for t, _ in tune]
-        y += [float(k) for _, k in tune]
-    model = dictionaries(ordered)
-    model.weights = logistic(np.array(x), np.array(y))
+    mixed = all(len({y for _, y in h}) == 2 for h in halves)
+    if which == 2:
+        return dictionaries(ordered) if mixed else flat(ordered)
+    if not mixed:
+        return [], []
+    model, tune = dictionaries(halves[which]), halves[1 - which]
+    return [features(model.savings(t)) for t, _ in tune], [float(y) for _, y in tune]
+
+
+def combined(parts: list) -> Model:
+    """The model of all texts, with the curve that both halves' features give."""
+    model, (x, y) = parts[2], (sum((list(p[k]) for p in parts[:2]), []) for k in (0, 1))
+    if x:
+        model.weights = logistic(np.array(x), np.array(y))
     return model
 
 
@@ -183,21 +191,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     """Train on a bounded sample: of each class the ``SAMPLE`` labelled rows with the lowest hashes of their keys.
 
     ``learn`` tells of a row of ``labels`` whether it may be learnt from. Null keys and labels teach nothing; of a
-    key's several labels the largest counts. The texts go to one task, which their bounded number keeps small.
+    key's several labels the largest counts. All texts go to each of three tasks, one for each
+    part of training, which their bounded number keeps small.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(learn & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n) for y, n in SAMPLE.items()]
     sample = picked[0].unionByName(picked[1])
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(sample), "k").repartition(1)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(sample), "k")
+    rows = rows.withColumn("part", F.explode(F.array(*map(F.lit, PARTS))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [(r["k"], r["t"].encode("utf-8", "replace"), int(r["y"])) for b in batches for r in b.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts))])], ["model"])
+    def run(table: pa.Table) -> pa.Table:
+        texts = [(r["k"], r["t"].encode("utf-8", "replace"), int(r["y"])) for b in table.to_batches() for r in b.to_pylist()]
+        which = table.column("part")[0].as_py()
+        return pa.table({"part": pa.array([which], pa.int32()), "made": pa.array([pickle.dumps(part(texts, which))])})
 
-    made = rows.mapInArrow(run, "model binary").first()
-    return pickle.loads(made[0]) if made else train([])
+    made = {r["part"]: pickle.loads(r["made"]) for r in rows.groupBy("part").applyInArrow(run, "part int, made binary").collect()}
+    return combined([made[k] for k in PARTS]) if made else flat([])
 
 
 def with_toxicity(df: DataFrame, model: Model, text: str, *carry: str) -> DataFrame:
