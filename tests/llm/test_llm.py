@@ -333,23 +333,24 @@ def test_repeats_leave_text_and_other_columns(spark):
 # N-grams
 
 
-def test_ngram_scores(spark, monkeypatch):
+@pytest.mark.parametrize("order,least", [(3, 2), (2, 2), (4, 1)])
+def test_ngram_scores(spark, monkeypatch, order, least):
     monkeypatch.setattr(ngrams, "CHUNK_BYTES", 4096)
     docs = odd_docs(spark)
     texts = [r["text"] for r in docs.select("text").collect()]
     words = [(t or "").lower().split() for t in texts]
-    one = Counter(w for ws in words for w in ws)
-    two = Counter(p for ws in words for p in zip(ws, ws[1:], strict=False))
-    total = sum(one.values())
+    counts = Counter(tuple(ws[k : k + n]) for ws in words for n in range(1, order + 1) for k in range(len(ws) - n + 1))
+    total = sum(map(len, words))
 
     def want(ws):
         s = 0.0
         for k, w in enumerate(ws):
-            c = two[ws[k - 1], w] if k else 0
-            s += np.log10(c / one[ws[k - 1]] if c >= 2 else 0.4 * one[w] / total)
+            n = next((n for n in range(min(order, k + 1), 1, -1) if counts[tuple(ws[k + 1 - n : k + 1])] >= least), 1)
+            ratio = counts[tuple(ws[k + 1 - n : k + 1])] / counts[tuple(ws[k + 1 - n : k])] if n > 1 else counts[w,] / total
+            s += np.log10(0.4 ** (order - n) * ratio)
         return s
 
-    got = ngrams.score(docs, "text", "doc_id", "text").collect()
+    got = ngrams.score(docs, "text", "doc_id", "text", order=order, min_count=least).collect()
     assert len(got) == len(texts)
     for r in got:
         ws = (r["text"] or "").lower().split()
