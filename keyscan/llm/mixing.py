@@ -1,13 +1,18 @@
 """Mixing documents to target weights by iterative proportional fitting.
 
 Token counts are summed into cells of (source, language, topic). The cells' weights are raked in turn to each
-dimension's targets, for a fixed number of rounds; a document is kept with the probability that its cell's raked weight
-asks for, by a hash of its key, and carries the weight that makes up for probabilities cut at 1. Only cells are raked,
-each step a sum over the cells of one value of one dimension.
+dimension's targets until none is missed by more than a tolerance; a document is kept with the probability that its
+cell's raked weight asks for, by a hash of its key, and carries the weight that makes up for probabilities cut at 1. Only
+cells are raked: by the driver where they are counted to be few, else each step a sum over the cells of one value of one
+dimension.
+
+The tables have no topics. A text's topic is the group of words that it holds most of, against what all texts hold: every
+word of five letters or more of the whole text counts for one of ``TOPICS`` groups, by its first three letters.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +20,13 @@ from pyspark.sql.window import Window
 from .common import cut
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, TOPICS, POWER = 8, 8, 0.7
-#: Cells up to this number, counted first, are broadcast; more are joined by a shuffle.
+TOPICS, POWER = 8, 0.7
+#: Raking ends when no target is missed by more than this share of it, and after so many rounds at the latest.
+TOLERANCE, ROUNDS = 1e-10, 60
+#: Cells up to this number, counted first, are raked by the driver and broadcast; more stay distributed.
 BROADCAST_CELLS = 20_000
+#: Words that count for a topic have so many letters; each of the first ones tells its place in the alphabet times a factor.
+TOPIC_WORD, FACTORS, LETTERS = 5, (1, 3, 5), "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens_of(text: Column) -> Column:
@@ -31,21 +40,26 @@ def hashed(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """One of ``TOPICS`` topics, ``t0`` and on, by how a text begins. Null counts as empty."""
-    return F.concat(F.lit("t"), (hashed(F.substring(F.coalesce(text, F.lit("")), 1, 3)) % TOPICS).cast("string"))
+def topic_counts(text: Column) -> Column:
+    """How many words of the whole text each topic's group has, an array of ``TOPICS`` longs. Null: no words."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\n\r]+"), lambda w: F.length(w) >= TOPIC_WORD)
+    place = lambda w, k: F.instr(F.lit(LETTERS), F.substring(w, k + 1, 1))
+    group = F.array_join(F.transform(words, lambda w: (sum((place(w, k) * f for k, f in enumerate(FACTORS)), F.lit(0)) % TOPICS).cast("string")), "")
+    return F.transform(F.sequence(F.lit(0), F.lit(TOPICS - 1)), lambda k: (F.length(group) - F.length(F.replace(group, k.cast("string"), F.lit("")))).cast("long"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
-    """``*DIMENSIONS, ratio``: what each cell's tokens ``w0`` must be multiplied by to meet the targets.
+def topics(docs: DataFrame, text: str = "text") -> Column:
+    """The topic of each of these texts, ``t0`` and on: the group with the largest share of all its words; of ties the first."""
+    sums = docs.select(topic_counts(F.col(text)).alias("n")).agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(TOPICS))).first()
+    share = F.transform(topic_counts(F.col(text)), lambda n, k: n / F.array(*(F.lit(float(x or 1)) for x in sums))[k])
+    return F.concat(F.lit("t"), (F.array_position(share, F.array_max(share)) - 1).cast("string"))
 
-    ``targets[dimension][value]`` is a share of all tokens; values not named share the rest as they do now. A dimension
-    without targets aims at its own shares to the power ``power``, so that small values gain. No cell: no row.
-    """
-    targets = targets or {}
+
+def _aims(cells: DataFrame, targets: dict[str, dict[str, float]], power: float) -> DataFrame:
+    """``cells`` with ``aim_*``: the tokens that each dimension's value of the cell is to have."""
     own = {d: cells.groupBy(d).agg(F.sum("w0").alias("own")) for d in DIMENSIONS}
     total = cells.agg(F.sum("w0")).first()[0] or 0.0
-    rows = cells.withColumn("w", F.col("w0"))
+    rows = cells
     for d in DIMENSIONS:
         mine = F.sum("w0").over(Window.partitionBy(d))
         if named := targets.get(d):
@@ -57,23 +71,76 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
             whole = own[d].agg(F.sum(F.pow("own", F.lit(power)))).first()[0] or 1.0
             aim = F.pow(mine, F.lit(power)) / whole
         rows = rows.withColumn(f"aim_{d}", aim * total)
-    for k in range(rounds):
-        if k and k % 4 == 0:
-            rows = cut(rows)  # plans of very many windows are slow to make
-        for d in DIMENSIONS:
-            now = F.sum("w").over(Window.partitionBy(d))
-            rows = rows.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"aim_{d}") / now).otherwise(0.0))
+    return rows
+
+
+def _missed(now: Column, aim: Column) -> Column:
+    """By what share of it a target is missed; targets that nothing can meet do not count."""
+    return F.when((now > 0) & (aim > 0), F.abs(now / aim - 1)).otherwise(0.0)
+
+
+def _raked_here(rows: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    """Raking of few cells by the driver."""
+    table = rows.orderBy(*DIMENSIONS).toPandas()
+    codes = [table[d].factorize()[0] for d in DIMENSIONS]
+    w = table["w0"].to_numpy(np.float64).copy()
+    aims = [table[f"aim_{d}"].to_numpy(np.float64) for d in DIMENSIONS]
+    sums = lambda code: np.bincount(code, w, minlength=1)[code]
+    for _ in range(rounds):
+        for code, aim in zip(codes, aims, strict=True):
+            now = sums(code)
+            w = np.where(now > 0, w * aim / np.where(now > 0, now, 1), 0.0)
+        missed = [np.abs(now / aim - 1)[(now > 0) & (aim > 0)] for now, aim in ((sums(c), np.maximum(a, 1e-300)) for c, a in zip(codes, aims, strict=True))]
+        if max(m.max(initial=0.0) for m in missed) <= tolerance:
+            break
+    table["w"] = w
+    return rows.sparkSession.createDataFrame(table[[*DIMENSIONS, "w0", "w"]])
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``*DIMENSIONS, ratio``: what each cell's tokens ``w0`` must be multiplied by to meet the targets.
+
+    ``targets[dimension][value]`` is a share of all tokens; values not named share the rest as they do now. A dimension
+    without targets aims at its own shares to the power ``power``, so that small values gain. No cell: no row. Targets
+    that contradict each other are raked for ``rounds`` rounds; ``residual`` tells what they are missed by.
+    """
+    rows = cut(_aims(cells, targets or {}, power))
+    if rows.isEmpty():
+        return rows.select(*DIMENSIONS, F.lit(1.0).alias("ratio"))
+    if rows.count() <= BROADCAST_CELLS:
+        rows = _raked_here(rows, rounds, tolerance)
+    else:
+        rows = rows.withColumn("w", F.col("w0"))
+        for k in range(rounds):
+            for d in DIMENSIONS:
+                now = F.sum("w").over(Window.partitionBy(d))
+                rows = rows.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"aim_{d}") / now).otherwise(0.0))
+            if k % 4 == 3:  # plans of very many windows are slow to make
+                rows = cut(rows)
+                if _residual(rows) <= tolerance:
+                    break
     return rows.select(*DIMENSIONS, F.when(F.col("w0") > 0, F.col("w") / F.col("w0")).otherwise(1.0).alias("ratio"))
 
 
+def _residual(rows: DataFrame) -> float:
+    found = [rows.groupBy(d).agg(F.sum("w").alias("now"), F.first(f"aim_{d}").alias("aim")).agg(F.max(_missed(F.col("now"), F.col("aim")))).first()[0] for d in DIMENSIONS]
+    return max(x or 0.0 for x in found)
+
+
+def residual(cells: DataFrame, ratios: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER) -> float:
+    """The largest share of a target by which ``rake``'s ratios miss it."""
+    rows = _aims(cells, targets or {}, power).join(ratios, list(DIMENSIONS))
+    return _residual(rows.withColumn("w", F.col("w0") * F.col("ratio")))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: Column | None = None, **how) -> DataFrame:
     """``row`` (all columns of ``docs``), ``n_tokens``, ``topic``, ``probability``, ``weight`` of the documents kept.
 
-    Null sources and languages are values of their own, spelled ''; a document without tokens has its cell's ratio like
+    ``topic`` is that of ``topics`` unless given; ``how`` goes to ``rake``. Null sources and languages are values of their own, spelled ''; a document without tokens has its cell's ratio like
     any other (1 where the whole cell has none). Rows of one key are kept or dropped together; the null key is one key.
     """
     cell = [F.coalesce(F.col(f"row.{d}").cast("string"), F.lit("")).alias(d) for d in ("source", "lang")]
-    topic = topic_of(F.col(text)) if topic is None else topic
+    topic = topics(docs, text) if topic is None else topic
     rows = docs.select(F.struct("*").alias("row"), tokens_of(F.col(text)).alias("n_tokens"), topic.alias("topic")).select("row", "n_tokens", *cell, "topic")
     cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("w0")))
     ratios = cut(rake(cells, **how))
@@ -95,12 +162,13 @@ def copies(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that ``mix`` keeps, with their topics, sizes, probabilities and weights."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     return mix(docs).select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"))
 
 
 def _oracle() -> str:
-    """The same in DuckDB's SQL, every step a table of its own."""
+    """The same in DuckDB's SQL, every step a table of its own; rounds after targets are met change nothing."""
     sums = ", ".join(f"sum(w0) OVER (PARTITION BY {d}) AS own_{d}" for d in DIMENSIONS)
     aims = ", ".join(f"pow(own_{d}, {POWER}) / (SELECT sum(pow(x, {POWER})) FROM (SELECT sum(w0) AS x FROM c GROUP BY {d})) * (SELECT sum(w0) FROM c) AS aim_{d}" for d in DIMENSIONS)
     steps, last = [], "s0"
@@ -109,10 +177,16 @@ def _oracle() -> str:
         steps.append(f"s{k} AS MATERIALIZED (SELECT * EXCLUDE (w), CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * aim_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w FROM {last})")
         last = f"s{k}"
     h = lambda x: f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT)"
+    group = " + ".join(f"{f} * instr('{LETTERS}', substr(x, {k + 1}, 1))" for k, f in enumerate(FACTORS))
+    counts = ", ".join(f"len(list_filter(g, lambda x: x = {k})) AS n{k}" for k in range(TOPICS))
+    shares = ", ".join(f"n{k} / greatest(1.0, (SELECT sum(n{k}) FROM m))" for k in range(TOPICS))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-r AS (SELECT doc_id, source, lang, 't' || ({h("substr(t, 1, 3)")} % {TOPICS}) AS topic,
-      CAST(CASE WHEN t = '' THEN 0 ELSE length(t) - length(translate(t, ' ' || chr(9) || chr(10) || chr(13), '')) + 1 END AS BIGINT) AS n_tokens FROM d),
+w AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(t), '[ \t\n\r]+'), lambda x: length(x) >= {TOPIC_WORD}), lambda x: ({group}) % {TOPICS}) AS g FROM d),
+m AS MATERIALIZED (SELECT * EXCLUDE (g), {counts} FROM w),
+a AS (SELECT *, [{shares}] AS share FROM m),
+r AS MATERIALIZED (SELECT doc_id, source, lang, 't' || (list_position(share, list_max(share)) - 1) AS topic,
+      CAST(CASE WHEN t = '' THEN 0 ELSE length(t) - length(translate(t, ' ' || chr(9) || chr(10) || chr(13), '')) + 1 END AS BIGINT) AS n_tokens FROM a),
 c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS w0 FROM r GROUP BY ALL),
 o AS (SELECT *, {sums} FROM c),
 s0 AS MATERIALIZED (SELECT *, {aims}, w0 AS w FROM o),

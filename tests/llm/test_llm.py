@@ -257,10 +257,30 @@ def test_mixing(spark):
     made = {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 30, ("b", "y"): 40}
     made = {k: n * w[k] for k, n in made.items()}
     assert abs(made["a", "x"] + made["a", "y"] - 50) < 1e-6 and abs(made["a", "x"] + made["b", "x"] - 70) < 1e-6
+    assert mixing.residual(cells, mixing.rake(cells)) < 1e-9
+    assert {r["ratio"] for r in mixing.rake(cells, {"lang": {"x": 0.0, "y": 0.0}}).collect()} == {0.0}
     # raking keeps the cross ratio
     assert abs(made["a", "x"] * made["b", "y"] / (made["a", "y"] * made["b", "x"]) - 10 * 40 / (20 * 30)) < 1e-9
 
 
+def test_raking_is_the_same_distributed(spark, monkeypatch):
+    rnd = random.Random(6)
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", rnd.random() * 99) for a in range(4) for b in range(3) for c in range(3)], "source string, lang string, topic string, w0 double")
+    here = {r[:3]: r["ratio"] for r in mixing.rake(cells).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    there = mixing.rake(cells, tolerance=1e-7)
+    assert mixing.residual(cells, there) < 1e-7
+    assert all(abs(r["ratio"] - here[r[:3]]) < 1e-5 for r in there.collect())
+
+
+def test_topics_are_of_whole_texts(spark):
+    rows = [("abc " * 9 + "zebra zebra",), ("zebra",), ("apple " * 40 + "zebra",), ("apple zebra " * 30,), (None,), ("of the",)]
+    docs = spark.createDataFrame(rows, "text string")
+    got = [r[0] for r in docs.select(mixing.topics(docs)).collect()]
+    group = lambda w: sum(f * (ord(c) - 96) for f, c in zip(mixing.FACTORS, w, strict=False)) % mixing.TOPICS
+    assert got[0] == got[1] == got[3] == f"t{group('zebra')}" and got[2] == f"t{group('apple')}" and got[4] == got[5] == "t0"
+
+
 # Suffixes
 
 
@@ -470,7 +490,7 @@ def test_pipeline_mixes_to_the_target_shares(spark):
 
     rows = [(k, f"{'abcdefgh'[k % 8]}{k % 3} " + "w " * (k % 7 + 1), "de" if k % 6 == 0 else "en", "small" if k % 11 == 0 else "big") for k in range(12_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    size, topic = mixing.tokens_of(F.col("text")).alias("n"), mixing.topic_of(F.col("text")).alias("topic")
+    size, topic = mixing.tokens_of(F.col("text")).alias("n"), mixing.topics(docs).alias("topic")
     sums = lambda df, d: {r[0]: r[1] for r in df.select("source", "lang", topic, size).groupBy(d).agg(F.sum("n")).collect()}
     out = p.mixed(spark, docs, SF)
     assert out.columns == docs.columns
