@@ -10,10 +10,15 @@ from ..runtime import cut, new_dir, ship
 __all__ = ["cut", "new_dir", "small_batches", "utf8"]
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Ship the package, and set the rows of an Arrow batch, low because single texts can be very long."""
+#: Rows of an Arrow batch, low because single texts can be very long. It is one number for all operators, as the setting
+#: is read when a plan runs, not when it is made.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ship the package, and set the rows of an Arrow batch."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def utf8(text: Column) -> Column:

@@ -197,7 +197,7 @@ def links(fps: DataFrame, budget: int = 2, split_over: int = 20_000, within: int
     With ``within``, only pairs whose other fingerprints ``fp2`` differ in so many bits at most. A subtrie of over
     ``split_over`` fingerprints is followed further before it is dealt out. Nulls take no part.
     """
-    small_batches(fps.sparkSession, 50_000)
+    small_batches(fps.sparkSession)
     turned = [
         F.struct(F.lit(k).cast("long").alias("trie"), (F.col("fp") if not turn else F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn))).alias("value"), F.lit(64 - depth).alias("below"))
         for k, (turn, depth) in enumerate(blocks(budget))

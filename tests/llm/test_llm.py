@@ -74,6 +74,32 @@ def test_warc_round_trip(spark):
     assert warc.resolve_revisits(none).count() == 0
 
 
+def test_warc_beyond_what_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(warc, "HOT_ROWS", 5)
+    monkeypatch.setattr(warc, "FILE_BYTES", 200)
+    rows = [(k, f"u{k}", f"{k % 7}" * 150 if k % 7 > 1 else "hot" * 50) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = warc.write_archives(warc.resolve_revisits(pages), new_dir(spark, "warc"))
+    got = {r["page_id"]: r for r in warc.payload_facts(warc.read_archives(spark, path)).collect()}
+    for k, _, t in rows:
+        first = min(j for j, _, x in rows if x == t)
+        r = got[k]
+        assert (r["refers_to"], r["record_type"]) == ((None, "response") if first == k else (first, "revisit"))
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(t), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_warc_of_other_writers():
+    record = lambda kind, head, block: f"WARC/1.0\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    data = record("warcinfo", "WARC-Record-ID: <urn:uuid:0>\r\n", b"software: x") + record("response", "WARC-Record-ID: <urn:uuid:1>\r\nWARC-Payload-Digest: sha1:AB\r\n", b"HTTP/1.1 200 OK\r\n\r\nbody")
+    data += record("revisit", "WARC-Record-ID: <urn:uuid:2>\r\nWARC-Refers-To: <urn:uuid:1>\r\nWARC-Payload-Digest: sha1:AB\r\n", b"") + record("response", "WARC-Record-ID: <urn:page:-7>\r\n", b"plain")
+    for content in (data, gzip.compress(data)):
+        rows = list(warc.parse_records(content))
+        assert [r[1] for r in rows] == ["warcinfo", "response", "revisit", "response"]
+        assert rows[1][5:] == (b"body", "urn:uuid:1", None) and rows[2][4:] == ("sha1:AB", None, "urn:uuid:2", "urn:uuid:1")
+        assert [r[0] for r in rows] == [None, None, None, -7] and rows[3][5] == b"plain"
+
+
 def test_warc_files_are_valid_gzip(spark):
     pages = spark.createDataFrame([(1, "u", "<a>" * 50)], "page_id bigint, url string, html string")
     path = warc.write_archives(warc.resolve_revisits(pages), new_dir(spark, "warc"))
