@@ -38,6 +38,17 @@ NEW_LETTERS = """1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d
 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c
 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"""
 NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+# fixed values: capital letters that Unicode 16 and 17 added, in hexadecimal, with how far off their small letters are
+NEW_CAPITALS = """1c89-1c89+1 a7cb-a7cb-a567 a7cc-a7cc+1 a7ce-a7ce+1 a7d2-a7d2+1 a7d4-a7d4+1 a7da-a7da+1 a7dc-a7dc-a641
+10d50-10d65+20 16ea0-16eb8+1b"""
+
+
+def _new_small() -> dict[int, int]:
+    """The small letter of each of the new capitals."""
+    out = {}
+    for lo, hi, off in re.findall(r"(\w+)-(\w+)([+-]\w+)", NEW_CAPITALS):
+        out |= {c: c + int(off, 16) for c in range(int(lo, 16), int(hi, 16) + 1)}
+    return out
 
 
 def _listed(ranges: str) -> str:
@@ -252,6 +263,8 @@ class Tokenizer:
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letters}|{number}|(?:_|[^\w{WHITE}{numbers}{more}])+")
         self.special = re.compile("|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True)))) if self.merges.special else None
         self.odd_space = re.compile("[\x1c-\x1f]")  # str.split() parts words there too
+        self.small = _new_small()
+        self.capitals = re.compile(f"[{''.join(map(chr, self.small))}]")
         self.memo = _Memo(self)
 
     def word_ids(self, word: str) -> tuple[int, ...]:
@@ -260,6 +273,8 @@ class Tokenizer:
     def _plain(self, text: str) -> list[tuple[int, ...]]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.capitals.search(text):
+                text = text.translate(self.small)
         text = text.lower()
         # white space always parts words, so that what stands between is looked up whole
         pieces = text.split() if not self.odd_space.search(text) else self.words.findall(text)

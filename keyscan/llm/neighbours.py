@@ -8,6 +8,7 @@ with their smallest ids, as no more of them can come into a result; a part with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,9 @@ from pyspark.sql.window import Window
 
 from .common import cut, small_batches
 
-#: Vectors that the partition is learnt from, graph neighbours of each, and vectors of the sample in a part.
-SAMPLE, GRAPH, PART = 16_384, 10, 128
+#: Vectors that the partition is learnt from, graph neighbours of each, and vectors of the sample in a part: as many parts
+#: as the root of all entries' number, but no fewer than of the first size and no more than of the second.
+SAMPLE, GRAPH, PART, LEAST_PART = 16_384, 10, 128, 16
 #: The recall, measured on the sample, that the number of probed parts is chosen for; sample queries that measure it;
 #: and entries of a part in one block.
 RECALL, TRIALS, BLOCK = 0.96, 512, 8192
@@ -32,11 +34,11 @@ def graph(x: np.ndarray, k: int = GRAPH) -> np.ndarray:
     """The k nearest others of each row by inner product; fewer rows: fewer."""
     k = min(k, len(x) - 1)
     out = np.empty((len(x), max(k, 0)), np.int64)
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        s = x[at : at + 256] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         if k > 0:
-            out[at : at + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            out[at : at + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -178,7 +180,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     share = min(1.0, SAMPLE / max(1, n))
     sample = entries.where(F.pmod(F.xxhash64("e", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("e").select("v").limit(2 * SAMPLE).toPandas()
     x = np.array(sample["v"].tolist(), np.float64).reshape(len(sample), width["d"] if width else 1)
-    parts = max(1, len(x) // PART)
+    parts = max(1, len(x) // PART, min(math.isqrt(n), len(x) // LEAST_PART))
     router = fit(x, parts)
     probed = probes_for(router, x, k, recall)
 

@@ -19,7 +19,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut, small_batches
@@ -231,31 +230,22 @@ def links(fps: DataFrame, budget: int = 2, split_over: int = 20_000, within: int
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: for each node of the links (a, b) other than its component's smallest, that smallest one.
 
-    Each round every neighbour of local minima hooks to the smallest of them and leaves, and its links move to that
-    one; a local minimum never hooks in that round. Rounds go on until no link is left; then pointers are doubled.
+    Large stars and small stars in turn: every node's larger neighbours, then its smaller ones, are linked to the least of
+    its neighbourhood, until nothing changes; the rounds grow with the logarithm of a component's size, whatever its
+    shape. A node's links meet only as partial minima; the least of each is joined back by a shuffle that may be split.
     """
-    left = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    trees = []
-    while left.take(1):
-        larger = left.select(F.col("u").alias("x")).distinct()
-        hooks = cut(left.join(larger, F.col("v") == F.col("x"), "left_anti").groupBy("u").agg(F.min("v").alias("p")))
-        trees.append(hooks)
-        first, second = hooks.toDF("u", "p"), hooks.toDF("v", "q")
-        ends = left.join(first, "u", "left").join(second, "v", "left").select(F.coalesce("p", "u").alias("p"), F.coalesce("q", "v").alias("q")).where("p <> q")
-        left = cut(ends.select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct())
-    spark = edges.sparkSession
-    if not trees:
-        return spark.createDataFrame([], T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType())]))
-    tree = trees[0]
-    for t in trees[1:]:
-        tree = tree.unionByName(t)
-    tree = cut(tree.toDF("node", "root"))
-    while True:
-        up = tree.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        jumped = cut(tree.join(up, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("r2", "root").alias("root"), F.col("r2").isNotNull().alias("moved")))
-        tree = jumped.select("node", "root")
-        if not jumped.where("moved").take(1):
-            return tree
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    known = None
+    while (now := state(links)) != known and now[0]:
+        known = now
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
+        links = cut(small.where("u <> v").distinct())
+    return links.toDF("node", "root")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, budget: int = 2) -> DataFrame:

@@ -186,6 +186,13 @@ def test_bpe_matches_the_library(spark, library):
     assert bpe.encode_decode(empty(spark), "text", bpe.vocabulary(), "doc_id").count() == 0
 
 
+def test_every_code_point_is_treated_as_by_the_library(library):
+    t = bpe.load(bpe.vocabulary())
+    for a in range(0, 0x110000, 64):
+        text = "".join(f"x{chr(c)}y " for c in range(a, a + 64) if not 0xD800 <= c < 0xE000)
+        assert t.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(a)
+
+
 def test_transducer_is_the_plain_definition_in_constant_memory():
     t = bpe.load(bpe.vocabulary())
     m, rnd = t.merges, random.Random(7)
@@ -442,6 +449,16 @@ def test_trie_join_links_what_is_near(spark, split_over, budget):
     assert [roots.get(f, f) for f in fps] == [fps[w] for w in want]
 
 
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(simhash, "cut", lambda df, real=simhash.cut: rounds.append(1) or real(df))
+    path = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901), (5, 5)], "a bigint, b bigint")
+    got = {r["node"]: r["root"] for r in simhash.components(path).collect()}
+    assert got == {**{k: 0 for k in range(1, 301)}, 901: 900}
+    assert len(rounds) < 30
+    assert simhash.components(path.limit(0)).count() == 0
+
+
 def test_near_duplicates(spark):
     docs = odd_docs(spark)
     got = simhash.near_duplicates(docs, "doc_id", "text").collect()
