@@ -12,12 +12,16 @@ word of five letters or more of the whole text counts for one of ``TOPICS`` grou
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, small_batches
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS, POWER = 8, 0.7
@@ -27,6 +31,7 @@ TOLERANCE, ROUNDS = 1e-10, 60
 BROADCAST_CELLS = 20_000
 #: Words that count for a topic have so many letters; each of the first ones tells its place in the alphabet times a factor.
 TOPIC_WORD, FACTORS, LETTERS = 5, (1, 3, 5), "abcdefghijklmnopqrstuvwxyz"
+_PLACE = {c: k + 1 for letters in (LETTERS, LETTERS.upper()) for k, c in enumerate(letters)}
 
 
 def tokens_of(text: Column) -> Column:
@@ -40,16 +45,38 @@ def hashed(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def topic_counts(text: Column) -> Column:
-    """How many words of the whole text each topic's group has, an array of ``TOPICS`` longs. Null: no words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\n\r]+"), lambda w: F.length(w) >= TOPIC_WORD)
-    place = lambda w, k: F.instr(F.lit(LETTERS), F.substring(w, k + 1, 1))
-    group = F.array_join(F.transform(words, lambda w: (sum((place(w, k) * f for k, f in enumerate(FACTORS)), F.lit(0)) % TOPICS).cast("string")), "")
-    return F.transform(F.sequence(F.lit(0), F.lit(TOPICS - 1)), lambda k: (F.length(group) - F.length(F.replace(group, k.cast("string"), F.lit("")))).cast("long"))
+# fixed values: the white space of Python's str.split(), as DuckDB's patterns write it
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+class _Groups(dict):
+    """The group of a word's first letters; bounded, as it starts anew when it is large."""
+
+    def __missing__(self, start: str) -> int:
+        if len(self) > 1 << 16:
+            self.clear()
+        self[start] = found = sum(f * _PLACE.get(c, 0) for f, c in zip(FACTORS, start, strict=True)) % TOPICS
+        return found
+
+
+_groups = _Groups()
+
+
+def word_groups(text: str | None) -> list[int]:
+    """How many words of the whole text each topic's group has. Null: no words."""
+    found = Counter([_groups[w[: len(FACTORS)]] for w in (text or "").split() if len(w) >= TOPIC_WORD])
+    return [found[k] for k in range(TOPICS)]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def topic_counts(text: pd.Series) -> pd.Series:
+    """``word_groups`` of each text."""
+    return text.map(word_groups)
 
 
 def topics(docs: DataFrame, text: str = "text") -> Column:
     """The topic of each of these texts, ``t0`` and on: the group with the largest share of all its words; of ties the first."""
+    small_batches(docs.sparkSession)
     sums = docs.select(topic_counts(F.col(text)).alias("n")).agg(*(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(TOPICS))).first()
     share = F.transform(topic_counts(F.col(text)), lambda n, k: n / F.array(*(F.lit(float(x or 1)) for x in sums))[k])
     return F.concat(F.lit("t"), (F.array_position(share, F.array_max(share)) - 1).cast("string"))
@@ -182,7 +209,7 @@ def _oracle() -> str:
     shares = ", ".join(f"n{k} / greatest(1.0, (SELECT sum(n{k}) FROM m))" for k in range(TOPICS))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(t), '[ \t\n\r]+'), lambda x: length(x) >= {TOPIC_WORD}), lambda x: ({group}) % {TOPICS}) AS g FROM d),
+w AS (SELECT *, list_transform(list_filter(regexp_split_to_array(translate(t, '{LETTERS.upper()}', '{LETTERS}'), '{_SPACE}'), lambda x: length(x) >= {TOPIC_WORD}), lambda x: ({group}) % {TOPICS}) AS g FROM d),
 m AS MATERIALIZED (SELECT * EXCLUDE (g), {counts} FROM w),
 a AS (SELECT *, [{shares}] AS share FROM m),
 r AS MATERIALIZED (SELECT doc_id, source, lang, 't' || (list_position(share, list_max(share)) - 1) AS topic,
