@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NONE = -1
@@ -101,3 +101,41 @@ def ascending(s: Column, start: Column) -> Column:
 
 def same(a: Column, b: Column) -> Column:
     return F.array_sort(a).eqNullSafe(F.array_sort(b))
+
+
+def is_empty(s: Column) -> Column:
+    return F.size(s) == 0
+
+
+def clear_all(s: Column) -> Column:
+    """The empty set."""
+    return F.slice(s, 1, 0)
+
+
+def walk_while(s: Column, test: Callable[[Column], Column], down: bool = False) -> Column:
+    """The members in rising or falling order up to and with the first that fails the test."""
+    ordered = F.reverse(F.array_sort(s)) if down else F.array_sort(s)
+    fails = F.transform(ordered, lambda x: ~F.coalesce(test(x), F.lit(False)))
+    stop = F.array_position(fails, True)
+    return F.slice(ordered, F.lit(1), F.when(stop > 0, stop.cast("int")).otherwise(F.size(ordered)))
+
+
+def total_long(s: Column, value: Callable[[Column], Column]) -> Column:
+    """Sum of a function of the members, as a long."""
+    return F.aggregate(s, F.lit(0).cast("bigint"), lambda t, x: t + value(x).cast("bigint"))
+
+
+def total_int(s: Column, value: Callable[[Column], Column]) -> Column:
+    """Sum of a function of the members in 32 bits, which wrap."""
+    low = F.pmod(total_long(s, value) + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    return low.cast("int")
+
+
+def hashed(s: Column) -> Column:
+    """A hash that equal sets share."""
+    return F.xxhash64(F.array_sort(s))
+
+
+def rows(df: DataFrame, s: str, member: str) -> DataFrame:
+    """A row for each member of the set in column ``s``, for sets too large for one row."""
+    return df.select(*(c for c in df.columns if c != s), F.explode(s).alias(member))

@@ -33,6 +33,12 @@ def build(rows: DataFrame, schema: RecordSchema, path: str, ranges: int = 32, st
     return Index(rows.sparkSession, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether an index is built under a path; its schema is written last."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/schema/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 class Index:
     """A built index; each copy is opened when it is first asked for."""
 

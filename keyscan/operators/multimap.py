@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut
@@ -72,6 +72,40 @@ def inverse(e: DataFrame) -> DataFrame:
     return e.select(F.col("value_index").alias("key_index"), F.col("key_index").alias("value_index"), F.col("value").alias("key"), F.col("key").alias("value"))
 
 
+def keys(e: DataFrame) -> DataFrame:
+    """``key_index, key`` of each key."""
+    return e.select("key_index", "key").distinct()
+
+
+def size(e: DataFrame) -> DataFrame:
+    """``n``: how many edges there are."""
+    return e.agg(F.count("*").alias("n"))
+
+
+def values_by_nearest_index(e: DataFrame, key_index: int, test: Column | None = None) -> DataFrame:
+    """The values of the key whose ordinal is nearest to ``key_index``."""
+    found = seek(e.select(F.col("key_index").alias("key"), F.lit(0).cast("bigint").alias("_pos")), key_index, Bias.NEAREST)
+    return e.limit(0) if found is None else values_by_index(e, found[0], test)
+
+
+def save(e: DataFrame, path: str, ranges: int = 32) -> None:
+    """Keep the edges in order of keys, those of the inverse in order of values, and the counts of both."""
+    for name, some in (("edges", edges(e)), ("inverse", inverse(e))):
+        some.repartitionByRange(ranges, "key", "value").sortWithinPartitions(*ORDER).write.mode("overwrite").parquet(f"{path}/{name}")
+        kept = e.sparkSession.read.parquet(f"{path}/{name}")
+        counts(kept).write.mode("overwrite").parquet(f"{path}/{name}_counts")
+
+
+def load(spark: SparkSession, path: str, inverse: bool = False) -> DataFrame:
+    """The kept edges, or those of the inverse; a test of keys reads their ranges only."""
+    return spark.read.parquet(f"{path}/{'inverse' if inverse else 'edges'}")
+
+
+def load_counts(spark: SparkSession, path: str, inverse: bool = False) -> DataFrame:
+    """``key, key_index, n`` as kept."""
+    return spark.read.parquet(f"{path}/{'inverse' if inverse else 'edges'}_counts")
+
+
 def extent(e: DataFrame) -> DataFrame:
     """Rows, keys, smallest and largest key; -1 for the latter two if there are none."""
     return e.agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"), F.coalesce(F.min("key"), F.lit(-1)).alias("min_key"), F.coalesce(F.max("key"), F.lit(-1)).alias("max_key"))

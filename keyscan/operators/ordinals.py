@@ -4,45 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Ranges that keys are dealt into; each is sorted by itself.
-RANGES = 64
+from ..runtime import cut
 
+#: Bytes of a range that is sorted by itself, and how many ranges a search deals its keys into at most.
+RANGE_BYTES, MOST_RANGES = 128 << 20, 512
 
-def bounds(df: DataFrame, key: str, ranges: int = RANGES) -> list[int]:
+
+def ranges_for(df: DataFrame) -> int:
+    """As many ranges as the estimated size of the tables behind a DataFrame asks for, one a core at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(n for n in sizes if n < 1 << 60)  # larger: not known
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 17, -(-size // RANGE_BYTES)))
+
+
+def bounds(df: DataFrame, key: str, ranges: int | None = None) -> list[int]:
     """Rising values of a long column that deal its rows into at most ``ranges`` parts of about equal size."""
+    ranges = min(MOST_RANGES, ranges or ranges_for(df))
     shares = [k / ranges for k in range(1, ranges)]
-    found = df.agg(F.percentile_approx(key, shares, 1000)).first()[0]
+    found = df.agg(F.percentile_approx(key, shares, 20 * ranges)).first()[0] if shares else []
     return sorted({int(v) for v in found or []})
 
 
 def range_of(key: Column, edges: list[int]) -> Column:
-    """The part of a key: how many edges are at most it. Null keys come first of all."""
-    if not edges:
-        return F.lit(0)
-    at = F.lit(len(edges))
-    for k in range(len(edges) - 1, -1, -1):
-        at = F.when(key < edges[k], F.lit(k)).otherwise(at)
-    return F.when(key.isNull(), F.lit(0)).otherwise(at)
+    """The part of a key: how many edges are at most it, by binary search. Null keys come first of all."""
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < edges[mid], among(lo, mid)).otherwise(among(mid + 1, hi))
+
+    return F.when(key.isNull(), F.lit(0)).otherwise(among(0, len(edges)))
 
 
 def with_ordinals(df: DataFrame, key: str, *then: str, ordinal: str = "_pos") -> DataFrame:
-    """``df`` with 0-based ordinals in the order of a long ``key``, then of the columns ``then``.
+    """``df`` with 0-based ordinals in the order of ``key``, then of the columns ``then``.
 
-    Ranges of keys are numbered each for itself, and start where the counts of the lower ones end; the driver sees one
-    count a range. Equal sort columns are numbered in no certain order. Nulls come first; no rows give no rows.
+    The rows are sorted once, range by range, and kept so in the shared folder; a row's ordinal is its place in its range
+    after the rows of all lower ones. Rows of one key may fall into several ranges, as ``then`` parts them too. The driver
+    sees one count a range. Equal sort columns are numbered in no certain order. Nulls come first; no rows give no rows.
     """
-    edges = bounds(df, key)
-    part = range_of(F.col(key), edges)
-    counts = {r["p"]: r["n"] for r in df.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    order = [F.col(c).asc_nulls_first() for c in (key, *then)]
+    rows = cut(df.repartitionByRange(ranges_for(df), *order).sortWithinPartitions(*order))
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     starts, at = [], 0
-    for k in range(len(edges) + 1):
-        starts.append(at)
-        at += counts.get(k, 0)
-    within = Window.partitionBy("__part").orderBy(F.col(key).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in then))
-    start = F.element_at(F.array(*(F.lit(s).cast("bigint") for s in starts)), F.col("__part") + 1)
-    return df.withColumn("__part", part).withColumn(ordinal, start + F.row_number().over(within) - 1).drop("__part")
+    for r in sorted(rows.groupBy(part.alias("p")).count().collect()):
+        starts.append((r["p"], at))
+        at += r["count"]
+    spark = df.sparkSession
+    begins = F.broadcast(spark.createDataFrame(starts, "__part int, __start bigint"))
+    numbered = rows.withColumn("__part", part).withColumn("__place", place).join(begins, "__part")
+    return numbered.select(*df.columns, (F.col("__start") + F.col("__place")).alias(ordinal))
 
 
 def scan_from(rows: DataFrame, start: int) -> DataFrame:

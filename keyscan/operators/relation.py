@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .search import take_while
+
 
 def put(relation: DataFrame, more: DataFrame) -> DataFrame:
     """Pairs of ``more`` in place of those with the same key; the last write wins."""
@@ -52,3 +54,24 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def same(a: DataFrame, b: DataFrame) -> bool:
     """Whether two relations hold the same pairs, as often."""
     return not a.exceptAll(b).take(1) and not b.exceptAll(a).take(1)
+
+
+def size(relation: DataFrame) -> DataFrame:
+    """``n``: how many pairs there are."""
+    return relation.agg(F.count("*").alias("n"))
+
+
+def walk_while(relation: DataFrame, test: Column) -> DataFrame:
+    """Pairs in order of keys, then values, up to and with the first that fails the test."""
+    return take_while(relation, test, "key", "value")
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``n``: how many pairs stand in one of two relations more often than in the other; 0 if they are equal."""
+    both = a.select("key", "value", F.lit(1).alias("n")).unionByName(b.select("key", "value", F.lit(-1).alias("n")))
+    return both.groupBy("key", "value").agg(F.sum("n").alias("n")).where("n <> 0").agg(F.count("*").alias("n"))
+
+
+def by_field(rows: DataFrame, field: str) -> DataFrame:
+    """The relation from a field's values to the ordinals of their records."""
+    return rows.select(F.col(field).alias("key"), F.col("_pos").alias("value"))

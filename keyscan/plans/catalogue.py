@@ -16,7 +16,7 @@ from ..operators import relation as rel
 from ..operators.search import Bias, index_of, neighbours, pick, search
 from ..runtime import new_dir
 from ..sources.fixedrec import read_records, write_records
-from ..sources.schema import Field, IndexKind, RecordSchema
+from ..sources.schema import OFFSETS_ONLY, Field, IndexKind, RecordSchema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,9 +104,11 @@ def field_value(spark, sf_dir):
     return od.get(orders(spark, sf_dir), 5).select("o_custkey")
 
 
-@query("SELECT count(*) AS n, CAST(28 AS BIGINT) AS record_size, count(*) * 28 AS size_in_bytes FROM orders")
-def storage_facts(spark, sf_dir):
-    return od.facts(table(spark, sf_dir, "orders"), ORDERS.size)
+@query("SELECT count(*) AS n, CAST(28 AS BIGINT) AS record_size, CAST(count(*) * 28 AS BIGINT) AS size_in_bytes FROM orders")
+def record_facts(spark, sf_dir):
+    """Measured from the files that hold the records."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(_record_file(spark, sf_dir)).select("length")
+    return od.facts(files.select(F.explode(F.sequence(F.lit(1), (F.col("length") / ORDERS.size).cast("int")))), ORDERS.size)
 
 
 # Typed values
@@ -216,7 +218,7 @@ def _event_index(spark: SparkSession, sf_dir: str) -> ix.Index:
 
 
 def _event_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where("event_id % 3 = 0").select((F.col("micros") + 1).alias("probe"))
+    return events(spark, sf_dir).select((F.col("micros") + 1).alias("probe"))
 
 
 @query(f"WITH {V} SELECT * FROM v")
@@ -230,19 +232,19 @@ def index_range_read(spark, sf_dir):
     return _event_index(spark, sf_dir).where("micros", F.col("micros") >= least + 86_400_000_000).select("_pos", "micros")
 
 
-@query(f"WITH {V}, p AS (SELECT micros + 1 AS probe FROM v WHERE event_id % 3 = 0) SELECT probe, micros AS key, coalesce(_pos, -1) AS _pos FROM p ASOF LEFT JOIN v ON probe >= micros")
+@query(f"WITH {V}, p AS (SELECT micros + 1 AS probe FROM v) SELECT probe, micros AS key, coalesce(_pos, -1) AS _pos FROM p ASOF LEFT JOIN v ON probe >= micros")
 def search_secondary_ordinal(spark, sf_dir):
     return _event_index(spark, sf_dir).search("micros", _event_probes(spark, sf_dir), Bias.BACKWARD)
 
 
-@query(f"WITH {V}, p AS (SELECT micros + 1 AS probe FROM v WHERE event_id % 3 = 0) SELECT probe, coalesce(_pos, -1) AS _pos, event_id, micros, user_id FROM p ASOF LEFT JOIN v ON probe <= micros")
+@query(f"WITH {V}, p AS (SELECT micros + 1 AS probe FROM v) SELECT probe, coalesce(_pos, -1) AS _pos, event_id, micros, user_id FROM p ASOF LEFT JOIN v ON probe <= micros")
 def find_record(spark, sf_dir):
     return _event_index(spark, sf_dir).find("micros", _event_probes(spark, sf_dir), Bias.FORWARD).select("probe", "_pos", "event_id", "micros", "user_id")
 
 
-@query(f"WITH {V}, p AS (SELECT micros AS probe FROM v WHERE event_id % 5 = 0) SELECT probe, v._pos, v.event_id, v.user_id FROM p JOIN v ON probe = micros")
+@query(f"WITH {V}, p AS (SELECT micros AS probe FROM v) SELECT probe, v._pos, v.event_id, v.user_id FROM p JOIN v ON probe = micros")
 def record_for_index_of(spark, sf_dir):
-    probes = events(spark, sf_dir).where("event_id % 5 = 0").select(F.col("micros").alias("probe"))
+    probes = events(spark, sf_dir).select(F.col("micros").alias("probe"))
     return _event_index(spark, sf_dir).find("micros", probes).select("probe", "_pos", "event_id", "user_id")
 
 
@@ -324,11 +326,11 @@ def o2m_inverse(spark, sf_dir):
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 200 and l_linenumber <= 2")
-    return rows.select(F.col("l_orderkey").alias("key"), (F.col("l_partkey") % 200).alias("value")).distinct()
+    """All edges from orders to parts; a part is followed as the order of the same number."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("value")).distinct()
 
 
-_G = "g AS (SELECT DISTINCT l_orderkey AS key, l_partkey % 200 AS value FROM lineitem WHERE l_orderkey < 200 AND l_linenumber <= 2)"
+_G = "g AS MATERIALIZED (SELECT DISTINCT l_orderkey AS key, l_partkey AS value FROM lineitem)"
 
 
 @query(f"WITH RECURSIVE {_G}, c AS (SELECT value AS node FROM g WHERE key IN (1, 5) UNION SELECT g.value FROM c JOIN g ON g.key = c.node) SELECT node FROM c")
@@ -343,6 +345,30 @@ def o2m_closure_pruned(spark, sf_dir):
     return mm.closure(e, 1, stop).select("node").unionByName(mm.closure(e, 5, stop).select("node")).distinct()
 
 
+@query(f"WITH {E} SELECT DISTINCT key_index, key FROM e")
+def o2m_keys(spark, sf_dir):
+    return mm.keys(edges(spark, sf_dir))
+
+
+@query(f"WITH {E} SELECT count(*) = 0 AS empty, count(*) AS n FROM e")
+def o2m_is_empty(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return mm.size(e).select((F.col("n") == 0).alias("empty"), "n")
+
+
+@query(f"WITH {E}, d AS (SELECT key_index FROM (SELECT DISTINCT key_index FROM e) ORDER BY abs(key_index - 1234567), key_index LIMIT 1) SELECT value_index, value FROM e JOIN d USING (key_index)")
+def o2m_values_by_nearest_index(spark, sf_dir):
+    return mm.values_by_nearest_index(edges(spark, sf_dir), 1234567).select("value_index", "value")
+
+
+@query(f"WITH {E} SELECT key, key_index, count(*) AS n, false AS inverted FROM e GROUP BY ALL UNION ALL SELECT value, value_index, count(*), true FROM e GROUP BY ALL")
+def o2m_persisted(spark, sf_dir):
+    """Counts and inverse counts, read from an index that is kept with both."""
+    path = new_dir(spark, "multimap")
+    mm.save(edges(spark, sf_dir), path)
+    return mm.load_counts(spark, path).withColumn("inverted", F.lit(False)).unionByName(mm.load_counts(spark, path, inverse=True).withColumn("inverted", F.lit(True)))
+
+
 # Integer sets: each supplier's parts
 
 
@@ -399,6 +425,26 @@ _set_query("set_next_clear", lambda s: intset.next_clear(s, _fifty()), f", {_FRE
 _set_query("set_previous_clear", lambda s: intset.previous_clear(s, _fifty()), f", {_FREE} SELECT supp, coalesce(max(CASE WHEN m <= 50 THEN m END), -1) AS m FROM f GROUP BY 1")
 
 
+_set_query("set_clear_all", lambda s: intset.clear_all(s), "SELECT supp, m FROM a WHERE false", True)
+_set_query("set_is_empty", lambda s: intset.is_empty(intset.within(s, F.lit(0), F.lit(30))).cast("int"), "SELECT supp, CAST(count(CASE WHEN m < 30 THEN 1 END) = 0 AS BIGINT) AS m FROM a GROUP BY 1")
+_set_query("set_walk_while", lambda s: intset.walk_while(s, lambda x: x % 7 != 0), "SELECT supp, m FROM (SELECT *, coalesce(sum(CASE WHEN m % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY supp ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM a) WHERE f = 0", True)
+_set_query("set_walk_down_while", lambda s: intset.walk_while(s, lambda x: x % 7 != 0, down=True), "SELECT supp, m FROM (SELECT *, coalesce(sum(CASE WHEN m % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY supp ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM a) WHERE f = 0", True)
+_set_query("set_sum_long", lambda s: intset.total_long(s, lambda x: x * 3 - 1), "SELECT supp, CAST(sum(m * 3 - 1) AS BIGINT) AS m FROM a GROUP BY 1")
+_set_query("set_sum_int", lambda s: intset.total_int(s, lambda x: x * 30_000_000), "SELECT supp, CAST((sum(m * 30000000) + 2147483648) % 4294967296 - 2147483648 AS BIGINT) AS m FROM a GROUP BY 1")
+
+
+@query(f"WITH {_A} SELECT count(DISTINCT x) AS n FROM (SELECT supp, string_agg(m, ',' ORDER BY m) AS x FROM a GROUP BY 1)")
+def set_hash(spark, sf_dir):
+    """Equal sets have equal hashes: as many hashes as there are different sets."""
+    return _sets(spark, sf_dir).agg(F.countDistinct(intset.hashed(F.col("s"))).alias("n"))
+
+
+@query(f"WITH {_A} SELECT m, count(*) AS n FROM a GROUP BY 1")
+def set_exploded(spark, sf_dir):
+    """Sets as rows, which has no bound on a set's size: how many sets hold each member."""
+    return intset.rows(_sets(spark, sf_dir), "s", "m").groupBy("m").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_A} SELECT supp, CAST(sum(m * 0.5) AS DOUBLE) AS total FROM a GROUP BY 1")
 def set_sum(spark, sf_dir):
     return _sets(spark, sf_dir).select("supp", intset.total(F.col("s"), lambda x: x * F.lit(0.5)).alias("total"))
@@ -463,6 +509,51 @@ def map_two_index(spark, sf_dir):
     return rel.by_ordinals(edges(spark, sf_dir), keys, parts)
 
 
+@query(f"WITH {_R} SELECT count(*) AS n, count(*) = 0 AS empty, 0 AS n_cleared FROM r")
+def map_size(spark, sf_dir):
+    r = _relation(spark, sf_dir)
+    cleared = rel.size(rel.clear(r)).select(F.col("n").cast("int").alias("n_cleared"))
+    return rel.size(r).select("n", (F.col("n") == 0).alias("empty")).join(F.broadcast(cleared))
+
+
+@query(f"WITH {_R}, x AS (SELECT *, coalesce(sum(CASE WHEN value = 13 THEN 1 ELSE 0 END) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM r) SELECT key, value FROM x WHERE f = 0")
+def map_walk_while(spark, sf_dir):
+    return rel.walk_while(_relation(spark, sf_dir), F.col("value") != 13)
+
+
+@query(f"WITH {_R} SELECT true AS same, false AS same_changed, count(DISTINCT key) = count(*) AS unique_keys FROM r")
+def map_equals(spark, sf_dir):
+    r = _relation(spark, sf_dir)
+    changed = r.withColumn("value", F.col("value") + (F.col("key") == 1).cast("int"))
+    same = rel.difference(r, r.orderBy("value")).select((F.col("n") == 0).alias("same"))
+    other = rel.difference(r, changed).select((F.col("n") == 0).alias("same_changed"))
+    return same.join(F.broadcast(other)).join(F.broadcast(r.agg((F.countDistinct("key") == F.count("*")).alias("unique_keys"))))
+
+
+@query(f"WITH {V} SELECT user_id AS key, _pos AS value FROM v")
+def map_by_key_field(spark, sf_dir):
+    """A relation from a field that is not indexed to ordinals."""
+    return rel.by_field(_event_index(spark, sf_dir).rows(), "user_id")
+
+
+@query(f"WITH {V} SELECT true AS there, false AS elsewhere, count(*) AS n, 'events' AS name FROM v")
+def index_catalog(spark, sf_dir):
+    built = _event_index(spark, sf_dir)
+    facts = (F.lit(ix.exists(spark, built.path)).alias("there"), F.lit(ix.exists(spark, built.path + "-none")).alias("elsewhere"))
+    return built.rows().agg(F.count("*").alias("n")).select(*facts, "n", F.lit(built.schema.name).alias("name"))
+
+
+@query(f"WITH {V}, p AS (SELECT event_id * 2 AS probe FROM v) SELECT probe, event_id AS key, coalesce(_pos, -1) AS _pos FROM p ASOF LEFT JOIN v ON probe >= event_id")
+def search_canonical(spark, sf_dir):
+    return _event_index(spark, sf_dir).search("event_id", events(spark, sf_dir).select((F.col("event_id") * 2).alias("probe")), Bias.BACKWARD)
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _pos, o_orderkey AS file_offset FROM orders")
+def index_offsets_only(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_offset"))
+    return ix.build(keys, OFFSETS_ONLY, new_dir(spark, "offsets"), ranges=8).rows()
+
+
 # Writes
 
 
@@ -507,6 +598,13 @@ def fixedrec_scan_from(spark, sf_dir):
     return od.scan_from(rows, 500).where("_pos < 900").select("_pos", "cents")
 
 
+@query(f"WITH {O} SELECT _pos, o_orderkey FROM o UNION ALL SELECT _pos + (SELECT count(*) FROM o), o_orderkey FROM o")
+def fixedrec_append(spark, sf_dir):
+    path = _record_file(spark, sf_dir)
+    write_records(orders(spark, sf_dir).repartitionByRange(4, "_pos").sortWithinPartitions("_pos"), path, ORDERS, mode="append")
+    return read_records(spark, path, ORDERS).select("_pos", "o_orderkey")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many distinct parts each order has, with the order's ordinal and price."""
     return orders(spark, sf_dir).join(mm.counts(edges(spark, sf_dir)).withColumnRenamed("key", "o_orderkey"), "o_orderkey")

@@ -8,6 +8,7 @@ can open.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from ..runtime import ship
 from .schema import RecordSchema
 
 BATCH, RANGE_BYTES = 1 << 16, 64 << 20
+#: Names the files of a folder in order. It is replaced as a whole, so that a reader sees a write entirely or not at all.
+MANIFEST = "_files.json"
 
 
 def _local(path: str) -> str:
@@ -32,6 +35,10 @@ def _local(path: str) -> str:
 
 def _files(path: str) -> list[str]:
     path = _local(path)
+    manifest = f"{path}/{MANIFEST}"
+    if os.path.exists(manifest):
+        with open(manifest) as f:
+            return [os.path.join(path, name) for name in json.load(f)]
     return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith((".", "_"))) if os.path.isdir(path) else [path]
 
 
@@ -92,49 +99,65 @@ class Done(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Each task writes one file beside the target; commit moves them in, in task order, over what was there."""
+    """Each task writes one file of its own; commit names them in the manifest, in task order, after or instead of what was there."""
 
-    def __init__(self, path: str, schema: RecordSchema, ordinal: str):
-        self.path, self.record, self.ordinal, self.job = _local(path), schema, ordinal, uuid.uuid4().hex
+    def __init__(self, path: str, schema: RecordSchema, ordinal: str, overwrite: bool = True):
+        self.path, self.record, self.ordinal, self.overwrite, self.job = _local(path), schema, ordinal, overwrite, uuid.uuid4().hex
+
+    @staticmethod
+    def _whole(column: pa.Array, name: str) -> np.ndarray:
+        """A column without nulls, which a record cannot hold."""
+        if column.null_count:
+            raise ValueError(f"{name} has nulls")
+        return column.to_numpy(zero_copy_only=False)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Done:
         from pyspark import TaskContext
 
-        os.makedirs(f"{self.path}/_{self.job}", exist_ok=True)
+        os.makedirs(self.path, exist_ok=True)
         task = TaskContext.get()
-        name = f"{self.path}/_{self.job}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        name = f"{self.path}/part-{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}"
         with open(name, "wb") as out:
             for b in batches:
                 rows = np.zeros(b.num_rows, self.record.dtype())
                 for f in self.record.fields:
                     column = b.column(f.name)
                     if f.type is ValueType.LONG128:
-                        rows[f.name]["hi"], rows[f.name]["lo"] = (column.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                        self._whole(column, f.name)
+                        rows[f.name]["hi"], rows[f.name]["lo"] = (self._whole(column.field(k), f.name) for k in (0, 1))
                     else:
-                        rows[f.name] = column.to_numpy(zero_copy_only=False)
+                        values = self._whole(column, f.name)
+                        rows[f.name] = values
+                        if (rows[f.name].astype(np.int64) != values).any():
+                            raise ValueError(f"{f.name} has values beyond its type")
                 if self.record.header >= 4 and self.ordinal in b.schema.names:
                     raw = rows.view(np.uint8).reshape(len(rows), self.record.size)
-                    raw[:, :4] = b.column(self.ordinal).to_numpy(zero_copy_only=False).astype(">i4").view(np.uint8).reshape(-1, 4)
+                    ordinals = self._whole(b.column(self.ordinal), self.ordinal)
+                    if len(ordinals) and not 0 <= ordinals.min() <= ordinals.max() < 1 << 31:
+                        raise ValueError("an ordinal does not fit its four bytes")
+                    raw[:, :4] = ordinals.astype(">i4").view(np.uint8).reshape(-1, 4)
                 out.write(rows.tobytes())
         return Done([name])
 
     def commit(self, messages: list) -> None:
-        for f in os.listdir(self.path):
-            if f.startswith("part-"):
-                os.unlink(f"{self.path}/{f}")
-        for f in sorted(x for m in messages if m for x in m.files):
-            os.replace(f, f"{self.path}/{os.path.basename(f)}")
-        self._clean()
+        os.makedirs(self.path, exist_ok=True)
+        old = _files(self.path)
+        new = sorted(x for m in messages if m for x in m.files)
+        names = [os.path.basename(f) for f in ([] if self.overwrite else old) + new]
+        with open(f"{self.path}/{MANIFEST}-{self.job}", "w") as out:
+            json.dump(names, out)
+        os.replace(out.name, f"{self.path}/{MANIFEST}")
+        self._clean(set(names), old if self.overwrite else [])
 
     def abort(self, messages: list) -> None:
-        self._clean()
+        self._clean(set(), [])
 
-    def _clean(self) -> None:
-        folder = f"{self.path}/_{self.job}"
-        if os.path.isdir(folder):
-            for f in os.listdir(folder):
-                os.unlink(f"{folder}/{f}")
-            os.rmdir(folder)
+    def _clean(self, kept: set[str], old: list[str]) -> None:
+        """Remove what is replaced, and what failed tasks of this job left."""
+        mine = [f"{self.path}/{f}" for f in os.listdir(self.path) if f.startswith(f"part-{self.job}-")] if os.path.isdir(self.path) else []
+        for f in [*mine, *old]:
+            if os.path.basename(f) not in kept and os.path.exists(f):
+                os.unlink(f)
 
 
 class FixedRecords(DataSource):
@@ -154,7 +177,7 @@ class FixedRecords(DataSource):
         return Reader(self.options["path"], self._record(), int(self.options.get("rangeBytes", RANGE_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], self._record(), self.options.get("ordinal", "_pos"))
+        return Writer(self.options["path"], self._record(), self.options.get("ordinal", "_pos"), overwrite)
 
 
 def read_records(spark: SparkSession, path: str, schema: RecordSchema, **options) -> DataFrame:
@@ -165,8 +188,11 @@ def read_records(spark: SparkSession, path: str, schema: RecordSchema, **options
     return spark.read.format("fixedrec").option("record", schema.spec()).options(**options).load(path)
 
 
-def write_records(df: DataFrame, path: str, schema: RecordSchema) -> None:
-    """Write records in the order of the partitions; what was under ``path`` is replaced."""
+def write_records(df: DataFrame, path: str, schema: RecordSchema, mode: str = "overwrite") -> None:
+    """Write records in the order of the partitions, instead of what was under ``path`` or, with ``append``, after it.
+
+    A null, a value beyond its field's type, and an ordinal beyond four bytes raise, and leave what was there.
+    """
     ship(df.sparkSession)
     df.sparkSession.dataSource.register(FixedRecords)
-    df.write.format("fixedrec").option("record", schema.spec()).mode("overwrite").save(path)
+    df.write.format("fixedrec").option("record", schema.spec()).mode(mode).save(path)
