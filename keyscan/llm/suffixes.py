@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import remove
+from ..runtime import release, remove
 from .common import new_dir, small_batches, utf8
 from .induced import falling, mapped
 
@@ -341,12 +341,14 @@ def repeats(payloads: DataFrame, width: int = WIDTH, characters: bool = False) -
     held.select("uid", "payload", "runs", (F.col("n") / F.size("runs")).cast("long").alias("copies")).write.option("compression", "zstd").parquet(where_held)
     remove(spark, where_found)
     held = spark.read.parquet(where_held)
+    release(spark)
     spot = f"shiftright(x.spot, {2 * _FIELD})"
     cut = f"substring(payload, cast({spot} + 1 as int), cast((shiftright(x.spot, {_FIELD}) & {(1 << _FIELD) - 1}) + {width} as int))"
     pieces = F.expr(f"transform(runs, x -> struct(x.gram as key, {cut} as run, cast(x.spot & {(1 << _FIELD) - 1} as int) as at))")
     whole = held.select("copies", F.explode(pieces).alias("x")).select("x.*", F.lit(0).alias("lo"), F.lit(width - _gram(width)).alias("hi"), "copies")
     whole = whole.groupBy("key", "run", "at", "lo", "hi").agg(F.sum("copies").alias("copies")).withColumn("rid", content_id(F.col("run")))
     whole.select(*_RUNS).write.option("compression", "zstd").parquet(where_runs)
+    release(spark)
     different, links = _refined(spark.read.parquet(where_runs), width)
     size = different.agg(F.sum(F.octet_length("run"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
