@@ -30,8 +30,8 @@ from .common import new_dir, small_batches, utf8
 from .induced import falling, mapped
 
 WIDTH, GRAM = 200, 32
-#: Window starts looked at together, and bytes of runs a shard.
-BLOCK, SHARD_BYTES = 1 << 22, 8 << 20
+#: Window starts looked at together, and bytes of runs a shard: its task needs some 25 bytes of scratch disk for each.
+BLOCK, SHARD_BYTES = 1 << 22, 2 << 20
 #: A gram of more rows than this is known to repeat without a join; a key with more different runs is refined.
 HOT_ROWS, HOT_RUNS = 1 << 14, 1 << 15
 #: How many such keys are looked for at once, and counted closely: the bound of what is broadcast.
