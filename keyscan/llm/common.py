@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, new_dir, ship
 
-__all__ = ["cut", "new_dir", "small_batches", "utf8"]
+__all__ = ["cut", "give_back", "new_dir", "small_batches", "utf8"]
 
 
 #: Rows of an Arrow batch, low because single texts can be very long. It is one number for all operators, as the setting
@@ -24,3 +28,12 @@ def small_batches(spark: SparkSession) -> None:
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, and a heavy task's would stay large."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 #: At most so many labelled texts of each class train the dictionaries and the threshold.
 SAMPLE = {1: 3000, 0: 9000}
@@ -50,17 +50,24 @@ def contexts(texts: list[bytes], only: set[bytes] | None = None) -> tuple[Counte
 
     With ``only``, no other words are counted; the number in all is the same.
     """
-    seen: dict[bytes, set[int]] = defaultdict(set)
-    every = [np.empty(0, np.int64)]
+    ids: dict[bytes, int] = {w: k for k, w in enumerate(only or ())}
+    every, of = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     for t in texts:
         words = t.split()
-        stands = [hash(x) for x in zip([b"", *words], words, [*words[1:], b""], strict=False)]
-        every.append(np.array(stands, np.int64))
-        for w, at in zip(words, stands, strict=True):
-            w = w.strip(MARKS)
-            if w and (only is None or w in only):
-                seen[w].add(at)
-    return Counter({w: len(c) for w, c in seen.items()}), len(np.unique(np.concatenate(every)))
+        every.append(np.fromiter(map(hash, zip([b"", *words], words, [*words[1:], b""], strict=False)), np.int64, len(words)))
+        bare = (w.strip(MARKS) for w in words)
+        number = (ids.get(w, -1) if only is not None else ids.setdefault(w, len(ids)) if w else -1 for w in bare)
+        of.append(np.fromiter(number, np.int32, len(words)))
+    stands, of = np.concatenate(every), np.concatenate(of)
+    every.clear()
+    total = len(np.unique(stands))
+    stands, of = stands[of >= 0], of[of >= 0]
+    order = np.lexsort((stands, of))
+    stands, of = stands[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (stands[1:] != stands[:-1])
+    many = np.bincount(of[new], minlength=len(ids)).tolist()
+    return Counter({w: many[k] for w, k in ids.items() if many[k]}), total
 
 
 def added(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -205,7 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     def run(table: pa.Table) -> pa.Table:
         texts = [(r["k"], r["t"].encode("utf-8", "replace"), int(r["y"])) for b in table.to_batches() for r in b.to_pylist()]
         which = table.column("part")[0].as_py()
-        return pa.table({"part": pa.array([which], pa.int32()), "made": pa.array([pickle.dumps(part(texts, which))])})
+        made = pickle.dumps(part(texts, which))
+        texts.clear()
+        give_back()
+        return pa.table({"part": pa.array([which], pa.int32()), "made": pa.array([made])})
 
     made = {r["part"]: pickle.loads(r["made"]) for r in rows.groupBy("part").applyInArrow(run, "part int, made binary").collect()}
     return combined([made[k] for k in PARTS]) if made else flat([])

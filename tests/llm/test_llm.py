@@ -612,3 +612,19 @@ def test_toxicity_counts_words_of_every_ordinary_text():
     toxic = [f"{prose(rnd, 4)} grumblefrotz {prose(rnd, 4)}".encode() for _ in range(60)]
     model = toxicity.dictionaries([(t, 0) for t in plain] + [(t, 1) for t in toxic])
     assert b" grumblefrotz " in model.toxic and b" grumblefroth " in model.base
+
+
+@pytest.mark.parametrize("only", [None, {b"red", b"fox"}, set()])
+def test_toxicity_contexts_are_the_distinct_neighbours(only):
+    draw = random.Random(5)
+    texts = [b" ".join(draw.choice([b"red", b"fox,", b"fox", b"...", b"ran", b"(red)"]) for _ in range(n)) for n in (0, 1, 2, 30, 30, 200)]
+    seen, every = {}, set()
+    for t in texts + texts[:3]:
+        words = t.split()
+        for x in zip([b"", *words], words, [*words[1:], b""], strict=False):
+            every.add(x)
+            word = x[1].strip(toxicity.MARKS)
+            if word and (only is None or word in only):
+                seen.setdefault(word, set()).add(x)
+    assert toxicity.contexts(texts + texts[:3], only) == (Counter({w: len(c) for w, c in seen.items()}), len(every))
+    assert toxicity.contexts([], only) == (Counter(), 0)
