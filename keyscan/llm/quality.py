@@ -121,7 +121,7 @@ def fit(stats: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
 
 def scored(stats: DataFrame, model: Discriminant | float) -> DataFrame:
     """``stats`` with ``score`` in place of ``x``, its last column."""
-    small_batches(stats.sparkSession, 4096)
+    small_batches(stats.sparkSession)
     rest = stats.columns[:-1]
     rows = stats.toDF(*(f"c{k}" for k in range(len(rest))), "x")
     kinds = "".join(f"c{k} {f.dataType.simpleString()}, " for k, f in enumerate(rows.schema.fields[:-1]))

@@ -235,6 +235,15 @@ def test_quality_odd_rows(spark):
     assert quality.scored(quality.with_statistics(empty(spark), "text", "doc_id"), 0.5).count() == 0
 
 
+def test_quality_scores_rows_of_several_batches(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(600, quality.SIZE))
+    model = quality.Discriminant(np.zeros(quality.SIZE), np.ones(quality.SIZE), [(0.5, np.full(quality.SIZE, m), np.eye(quality.SIZE)) for m in (0.0, 0.3)])
+    stats = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "doc_id bigint, x array<double>")
+    got = {r["doc_id"]: r["score"] for r in quality.scored(stats, model).collect()}
+    assert got == pytest.approx(dict(enumerate(model.score(x).tolist())))
+
+
 def test_discriminant_is_the_density_ratio():
     rnd = np.random.default_rng(3)
     a, b = rnd.normal(size=(400, 3)), rnd.normal(1, 2, size=(600, 3))
