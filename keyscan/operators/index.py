@@ -74,5 +74,10 @@ class Index:
         """Each probe with the whole record that the search finds; nulls where it finds none."""
         return fetch(self.rows(), self.search(field, probes, bias).drop("key"))
 
+    def find_all(self, field: str, probes: DataFrame) -> DataFrame:
+        """Each probe with every record that holds it, from the covering copy; probes that none holds are left out."""
+        rows = self.rows(field)
+        return probes.join(rows, F.col("probe") == rows[field]).select("probe", *(rows[c] for c in rows.columns))
+
     def size(self) -> int:
         return self.rows().count()
