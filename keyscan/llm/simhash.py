@@ -12,6 +12,7 @@ spanning forest.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, small_batches
+from .common import cut, give_back, small_batches
 
 SPLIT_BITS = 6
 #: A subtrie of at least so many fingerprints, and of at most 4 to the power of the budget, is compared directly: on its
 #: dense levels a pair differs in half of the bits, so that the walk would drop next to none.
 DIRECT = 64
-#: Texts of one candidate group that are held against each other at once.
-GROUP = 512
+#: Texts of one candidate group that are held against each other at once; larger groups are parted first, by shared
+#: shingles of texts whose fingerprints lie within so many bits of each other, both kinds.
+GROUP, PARTED = 512, (24, 26)
 #: Node pairs that are followed at once.
 FRONTIER = 1 << 17
 
@@ -186,6 +188,7 @@ def _joined(budget: int, after_split: bool, within: int):
                 held, size = [rows[whole:]], len(rows) - whole
         if size:
             yield solve(np.concatenate(held))
+        give_back()
 
     return run
 
@@ -287,12 +290,64 @@ def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]
     return child, forest.parent[child]
 
 
+def leading(text: str | None, words: int, least: float) -> np.ndarray:
+    """So many of a text's distinct shingles, the least first, that a text with a similarity of ``least`` shares one."""
+    x = np.unique(shingles(text, words))
+    return x[: len(x) - math.ceil(least * len(x) - 1e-3) + 1]
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the rows ``key, u, fp, fp2``, sorted by key, that have one key and near fingerprints."""
+
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        key, u, fp, fp2 = rows.T
+        forest, at = Forest(len(rows)), np.arange(len(rows) - 1)
+        apart = 1
+        while len(at := at[at + apart < len(rows)]) and len(at := at[key[at] == key[at + apart]]):
+            near = np.bitwise_count((fp[at] ^ fp[at + apart]).view(np.uint64)) <= PARTED[0]
+            near &= np.bitwise_count((fp2[at] ^ fp2[at + apart]).view(np.uint64)) <= PARTED[1]
+            forest.link(at[near], at[near] + apart)
+            apart += 1
+        child = np.flatnonzero(forest.parent != np.arange(len(rows)))
+        pairs = np.unique(np.stack([u[child], u[forest.parent[child]]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    held: list[np.ndarray] = []
+    size = 0
+    for b in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
+        size += len(held[-1])
+        if size > 1 << 18:
+            rows = np.concatenate(held)
+            whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if whole:
+                yield solve(rows[:whole])
+            held, size = [rows[whole:]], len(rows) - whole
+    if size:
+        yield solve(np.concatenate(held))
+    give_back()
+
+
+def parted(large: DataFrame, shingled: DataFrame) -> DataFrame:
+    """``u, root``: smaller groups of the groups ``u, root, fp, fp2``, which part no texts that are alike.
+
+    Alike texts share a leading shingle (``u, shingles``). Of a group's texts with a leading shingle in common those are
+    linked whose fingerprints differ in ``PARTED`` bits at most, far more than lead into one group. Texts are not moved for
+    this. Who is linked to none is in no group.
+    """
+    dealt = shingled.join(large, "u").groupBy("u", "root", "fp", "fp2").agg(F.first("shingles").alias("shingles"))
+    dealt = dealt.select("u", "root", "fp", "fp2", F.explode("shingles").alias("x")).select(F.xxhash64("root", "x").alias("key"), "u", "fp", "fp2")
+    tree = components(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_sharing, "a long, b long"))
+    return tree.select(F.col("node").alias("u"), "root").unionByName(tree.select(F.col("root").alias("u"), "root").distinct())
+
+
 def similar(df: DataFrame, key: str, text: str, budget: int = 16, within: int = 20, words: int = 5, least: float = 0.8) -> DataFrame:
     """``key, component_id``: the smallest key that pairs of texts with a similarity of ``least`` or more reach.
 
     The similarity is Jaccard's, exact, over runs of ``words`` words. Candidates are groups of texts linked by pairs of
-    fingerprints of three words within the budget whose fingerprints of ``words`` words lie within ``within`` bits; in
-    each, every text is held against every other, in blocks of ``GROUP`` where it is large. Fingerprints are drawn by
+    fingerprints of three words within the budget whose fingerprints of ``words`` words lie within ``within`` bits. With
+    many texts chance links nearly all of them, so groups of over ``GROUP`` are parted (``parted``). In each group every
+    text is held against every other, in blocks of ``GROUP`` where it is still large. Fingerprints are drawn by
     hashes, so a pair can lie outside both budgets by chance; of the pairs at 0.8 or more in the samples none does.
     Texts of the same words are linked, empty and null ones too. Rows and keys are treated as in ``near_duplicates``.
     """
@@ -309,6 +364,7 @@ def similar(df: DataFrame, key: str, text: str, budget: int = 16, within: int =
             texts = b.column(1).to_pylist()
             made = [pa.array(np.array([f(t) for t in texts], np.uint64).view(np.int64)) for f in (fingerprint, lambda t: fingerprint(t, words), same)]
             yield pa.RecordBatch.from_arrays([b.column(0), *made], ["key", "fp", "fp2", "u"])
+        give_back()
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct text of the partition."""
@@ -320,19 +376,33 @@ def similar(df: DataFrame, key: str, text: str, budget: int = 16, within: int =
                     seen.add(u)
                     found[u] = t
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.string())], ["u", "t"])
+        give_back()
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least shingles of each distinct text: alike texts share one of them."""
+        for b in once(batches):
+            made = [leading(t, words, least) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], ["u", "shingles"])
 
     def verified(table: pa.Table) -> pa.Table:
         u = table.column("u").to_numpy()
         a, b = alike([np.unique(shingles(t, words)) for t in table.column("t").to_pylist()], least)
+        if table.num_rows > DIRECT:
+            give_back()
         return pa.table({"a": u[a], "b": u[b]})
 
     docs = cut(rows.mapInArrow(marked, "key long, fp long, fp2 long, u long"))
     distinct = docs.groupBy("fp", "u").agg(F.min("key").alias("least"), F.min("fp2").alias("fp2"))
     roots = components(links(distinct.groupBy("fp").agg(F.min("fp2").alias("fp2")), budget, 1 << 17, within))
-    named = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("u", "least", F.coalesce("root", "fp").alias("root")))
+    named = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("u", "least", F.coalesce("root", "fp").alias("root"), "fp", "fp2"))
     small_batches(spark)
-    many = named.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    wanted = named.join(many, "root").select("u", "root", "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("own"))
+    many = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    held = named.join(many, "root")
+    groups, large = held.where(F.col("n") <= GROUP).select("u", "root"), held.where(F.col("n") > GROUP).select("u", "root", "fp", "fp2")
+    if large.take(1):
+        groups = groups.unionByName(parted(large, rows.mapInArrow(firsts, "u long, shingles array<long>")))
+    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    wanted = groups.join(blocks, "root").select("u", "root", "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("own"))
     texts = rows.mapInArrow(once, "u long, t string").join(wanted, "u").groupBy("u", "root", "blocks", "own").agg(F.first("t").alias("t"))
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.where((F.col("blocks") < 2) | (F.col("own") != F.col("other")))

@@ -549,6 +549,18 @@ def test_pipeline_drops_edited_copies_and_keeps_clean_documents(spark, monkeypat
     assert {r["doc_id"] for r in p.near_copies_out(spark, docs, SF).collect()} == set(root)
 
 
+def test_large_candidate_groups_are_parted(spark):
+    """Texts that only chance put into one group are held against none; alike ones stay together."""
+    rnd, texts = random.Random(8), []
+    for _ in range(60):
+        words = [f"w{rnd.randrange(9000)}" for _ in range(200)]
+        texts += [" ".join(words), " ".join([*words[:190], "tail"])]
+    marks = [(k, 0, *np.array([simhash.fingerprint(t), simhash.fingerprint(t, 5)], np.uint64).view(np.int64).tolist()) for k, t in enumerate(texts)]
+    large = spark.createDataFrame(marks, "u bigint, root bigint, fp bigint, fp2 bigint")
+    shingled = spark.createDataFrame([(k, simhash.leading(t, 5, 0.8).view(np.int64).tolist()) for k, t in enumerate(texts)], "u bigint, shingles array<bigint>")
+    assert collected(simhash.parted(large, shingled)) == collected(large.selectExpr("u", "u - u % 2 AS root"))
+
+
 def test_pipeline_mixes_to_the_target_shares(spark):
     import corpus_pipeline as p
 
