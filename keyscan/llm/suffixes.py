@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import release, remove
-from .common import new_dir, small_batches, utf8
+from .common import give_back, new_dir, small_batches, utf8
 from .induced import falling, mapped
 
 WIDTH, GRAM = 200, 32
@@ -153,6 +153,7 @@ def _found_runs(width: int):
             n = np.repeat(np.array([times[uid] for uid in rows], np.int64), sizes)
             spot = first << (2 * _FIELD) | (last - first) << _FIELD | place
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0).take(pa.array(at)), pa.array(spot), pa.array(n)], ["gram", "uid", "spot", "n"])
+        give_back()
 
     return run
 
@@ -266,6 +267,7 @@ def _sorted_shard(width: int):
                     out.clear()
             if out:
                 yield rows(out)
+        give_back()
 
     return run
 
