@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, new_dir, ship
+from ..runtime import cut, new_dir, release, ship
 
-__all__ = ["cut", "give_back", "new_dir", "small_batches", "utf8"]
+__all__ = ["cut", "give_back", "new_dir", "release", "small_batches", "utf8"]
 
 
 #: Rows of an Arrow batch, low because single texts can be very long. It is one number for all operators, as the setting

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, give_back, small_batches
+from .common import cut, give_back, release, small_batches
 
 SPLIT_BITS = 6
 #: A subtrie of at least so many fingerprints, and of at most 4 to the power of the budget, is compared directly: on its
@@ -33,6 +33,8 @@ DIRECT = 64
 GROUP, PARTED = 512, (24, 26)
 #: Node pairs that are followed at once.
 FRONTIER = 1 << 17
+#: Links that a task makes one spanning forest of before stars are drawn.
+CONTRACTED = 1 << 18
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -90,6 +92,15 @@ class Forest:
                 p[:] = q
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect just what the links (a, b) connect: of each node to the least of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.link(at[: len(a)], at[len(a) :])
+    child = np.flatnonzero(forest.parent != np.arange(len(nodes)))
+    return nodes[child], nodes[forest.parent[child]]
+
+
 def trie_join(values: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, bits: int, budget: int, second: np.ndarray | None = None, within: int = 64) -> np.ndarray:
     """The forest of links of many subtries at once.
 
@@ -173,7 +184,8 @@ def _joined(budget: int, after_split: bool, within: int):
                 child = np.flatnonzero(parent != np.arange(len(parent)))
                 back = lambda v, t=turn: v if not t else (v >> np.uint64(t)) | (v << np.uint64(64 - t))
                 edges.append(np.stack([back(values[child]), back(values[parent[child]])]))
-            out = np.concatenate(edges, axis=1).view(np.int64) if edges else np.empty((2, 0), np.int64)
+            # one group's tries differ in their roots; with the least one in all, their links are the same rows
+            out = spanning(*(np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.uint64)).view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"])
 
         for b in batches:
@@ -233,24 +245,55 @@ def links(fps: DataFrame, budget: int = 2, split_over: int = 20_000, within: int
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: for each node of the links (a, b) other than its component's smallest, that smallest one.
 
-    Large stars and small stars in turn: every node's larger neighbours, then its smaller ones, are linked to the least of
-    its neighbourhood, until nothing changes; the rounds grow with the logarithm of a component's size, whatever its
-    shape. A node's links meet only as partial minima; the least of each is joined back by a shuffle that may be split.
+    Bounded parts of the links each become a spanning forest first, so that a hub or a dense group leaves at most a link a
+    node and part. Then large stars and small stars in turn: every node's larger neighbours, then its smaller ones, are
+    linked to the least of its neighbourhood, until nothing changes; the rounds grow with the logarithm of a component's
+    size, whatever its shape. A node's links meet only as partial minima; the least of each is joined back by a shuffle
+    that may be split. Finished rounds are let go of, as their small files add up.
     """
-    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    small_batches(edges.sparkSession)
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    if parts := -(-links.count() // CONTRACTED):
+        links = cut(links.coalesce(parts).mapInArrow(_contracted, "u long, v long").distinct())
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     known = None
     while (now := state(links)) != known and now[0]:
         known = now
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
-        links = cut(small.where("u <> v").distinct())
+        links = _starred(links)
+        release(edges.sparkSession)
     return links.toDF("node", "root")
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links ``u, v`` of each ``CONTRACTED`` rows as a spanning forest."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def forest() -> pa.RecordBatch:
+        u, v = spanning(*np.concatenate(held, axis=1))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for b in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
+        size += b.num_rows
+        if size >= CONTRACTED:
+            yield forest()
+            size = 0
+    if held:
+        yield forest()
+
+
+def _starred(links: DataFrame) -> DataFrame:
+    """The links ``u, v`` after large and small stars; what they were made by may be let go of."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").select(F.explode(F.array(F.col("u"), F.col("v"))).alias("u"), F.col("m").alias("v"))
+    return cut(small.where("u <> v").distinct())
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, budget: int = 2) -> DataFrame:
     """``key, fp, component_id``: each row's fingerprint and the smallest key that links of the budget reach.
 
@@ -309,7 +352,7 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forest.link(at[near], at[near] + apart)
             apart += 1
         child = np.flatnonzero(forest.parent != np.arange(len(rows)))
-        pairs = np.unique(np.stack([u[child], u[forest.parent[child]]]), axis=1)
+        pairs = spanning(u[child], u[forest.parent[child]])
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     held: list[np.ndarray] = []

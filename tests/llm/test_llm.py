@@ -468,6 +468,21 @@ def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
     assert simhash.components(path.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("contracted", [1 << 18, 100])
+def test_components_of_dense_groups_join_few_links(spark, monkeypatch, contracted):
+    """A group linked in many ways joins about a link a node and part, not all of its links; small parts end in stars."""
+    rnd, groups = random.Random(3), 5
+    pairs = [(a * groups + g, b * groups + g) for g in range(groups) for a in range(40) for b in range(a)]
+    rnd.shuffle(pairs)
+    joined = []
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    monkeypatch.setattr(simhash, "CONTRACTED", contracted, raising=False)
+    monkeypatch.setattr(type(edges), "join", lambda self, *args, real=type(edges).join: joined.append(self.count()) or real(self, *args))
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {n: n % groups for n in range(groups, 40 * groups)}
+    assert max(joined) <= 39 * groups * min(4, -(-len(pairs) // contracted)) < len(pairs)
+
+
 def test_near_duplicates(spark):
     docs = odd_docs(spark)
     got = simhash.near_duplicates(docs, "doc_id", "text").collect()
