@@ -7,7 +7,8 @@ twice the lookahead it walks back from the newest symbol, emits what is stable a
 constant, however long a run of letters is.
 
 The last token of a prefix is the one candidate that stands well after the last token of the prefix before
-it: two tokens stand well side by side if encoding their joined symbols gives these two again.
+it: two tokens stand well side by side if encoding their joined symbols gives these two again. Candidates are
+the tokens that end there; an automaton tells them, made as far as the texts ask for it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import small_batches
 
 #: Encoded words that a worker remembers; beyond it starts anew. No longer word is remembered.
 MEMO_WORDS, MEMO_LENGTH = 400_000, 32
+#: Steps from state to state that a worker remembers; beyond it starts anew.
+MEMO_STEPS = 200_000
 # fixed values: Unicode's white space, without the separators 0x1c to 0x1f that Python's \s adds
 WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -161,25 +164,71 @@ class Merges:
                 limit, right = rr + 1, parts[right][0]
 
 
+def _ends(text: str, tokens: dict[str, int]) -> tuple[tuple[int, int], ...]:
+    """The tokens with which a text ends, as (id, width), the widest first."""
+    return tuple((t, len(text) - k) for k in range(len(text)) if (t := tokens.get(text[k:])) is not None)
+
+
+class _State:
+    """How the symbols read so far end: in ``text``, the longest end with which a token begins.
+
+    ``found``: the tokens that end here and their widths, the widest first; ``then`` and ``last``: the state and the tokens
+    after each next symbol that was met, the latter for a word's last one.
+    """
+
+    __slots__ = ("found", "last", "text", "then")
+
+    def __init__(self, text: str, found: tuple[tuple[int, int], ...]):
+        self.text, self.found = text, found
+        self.then: dict[str, _State] = {}
+        self.last: dict[str, tuple[tuple[int, int], ...]] = {}
+
+
 class Encoder:
     """The transducer over one word's symbols, a character each; yields ids once they are stable."""
 
     def __init__(self, merges: Merges):
         self.m, self.keep = merges, 2 * merges.lookahead
-        self.widest: dict[str, int] = {}  # the longest token that ends in a symbol
-        for token in merges.ids:
-            end = token[-1] if token.removesuffix(merges.end) == token else merges.end
-            self.widest[end] = max(self.widest.get(end, 0), merges.width(token))
+        self.inner = {t: i for t, i in merges.ids.items() if not merges.end or not t.endswith(merges.end)}
+        self.closing = {t.removesuffix(merges.end): i for t, i in merges.ids.items() if t.endswith(merges.end)}
+        self.begins = {t[:k] for tokens in (self.inner, self.closing) for t in tokens for k in range(1, len(t) + 1)}
+        self._anew()
+
+    def _anew(self) -> None:
+        self.states: dict[str, _State] = {}
+        self.steps, self.root = 0, _State("", ())
+
+    def _step(self, state: _State, symbol: str) -> _State:
+        """The state after one more symbol, remembered; beyond ``MEMO_STEPS`` what is remembered starts anew."""
+        if self.steps >= MEMO_STEPS:
+            self._anew()
+        self.steps += 1
+        text = state.text + symbol
+        while text and text not in self.begins:
+            text = text[1:]
+        after = self.states.get(text)
+        if after is None:
+            after = self.states[text] = _State(text, _ends(text, self.inner))
+        state.then[symbol] = after
+        return after
+
+    def _last(self, state: _State, symbol: str) -> tuple[tuple[int, int], ...]:
+        """The tokens that end in a word's last symbol, remembered likewise."""
+        if self.steps >= MEMO_STEPS:
+            self._anew()
+        self.steps += 1
+        found = state.last[symbol] = _ends(state.text + symbol, self.closing)
+        return found
 
     def word(self, symbols: str) -> Iterator[int]:
         """Ids of one word; the end mark is added here. Never holds more than ``keep`` symbols."""
-        m, at, held = self.m, 0, ""
+        m, at, held, state = self.m, 0, "", self.root
         last, wide, before = [-1], [0], -1  # last[i]: the last token up to held[:i]; before: the last one emitted
         while True:
             room = self.keep - len(held)
             held, at = held + symbols[at : at + room], at + room
             closed = at >= len(symbols)
-            self._advance(held, closed, last, wide, before)
+            state = self._advance(held, closed, last, wide, before, state)
             if closed:
                 yield from (t for t, _ in self._walk(last, wide, len(held)))
                 return
@@ -189,26 +238,37 @@ class Encoder:
             held = held[cut:]
             del last[1 : cut + 1], wide[1 : cut + 1]
 
-    def _advance(self, held: str, closed: bool, last: list[int], wide: list[int], before: int) -> None:
-        """The last token of each longer prefix of ``held``."""
-        ids, well, widest, stands, end = self.m.ids.get, self.m.known.get, self.widest, self.m.stands, self.m.end
-        size = len(held)
-        for n in range(len(last), size + 1):
-            shut = closed and n == size
-            lo = n - widest[end if shut else held[n - 1]]
-            for at in range(lo if lo > 0 else 0, n):
-                t = ids(held[at:n] + end if shut else held[at:n])
-                if t is not None:
-                    prior = last[at] if at else before
-                    if prior < 0:
-                        break
-                    ok = well((prior, t))
-                    if stands(prior, t) if ok is None else ok:
-                        break
+    def _advance(self, held: str, closed: bool, last: list[int], wide: list[int], before: int, state: _State) -> _State:
+        """The last token of each longer prefix of ``held``, whose known part ends in ``state``; the state at its end."""
+        well, stands = self.m.known.get, self.m.stands
+        n, size = len(last), len(held)
+        for symbol in held[n - 1 :]:
+            if n == size and closed:
+                found = state.last.get(symbol)
+                if found is None:
+                    found = self._last(state, symbol)
+            else:
+                after = state.then.get(symbol)
+                state = self._step(state, symbol) if after is None else after
+                found = state.found
+            for t, width in found:
+                if width < n:
+                    prior = last[n - width]
+                elif width > n:
+                    continue
+                elif before < 0:
+                    break
+                else:
+                    prior = before
+                ok = well((prior, t))
+                if stands(prior, t) if ok is None else ok:
+                    break
             else:
-                raise ValueError(f"no token ends in {held[n - 1]!r}")
+                raise ValueError(f"no token ends in {symbol!r}")
             last.append(t)
-            wide.append(n - at)
+            wide.append(width)
+            n += 1
+        return state
 
     @staticmethod
     def _walk(last: list[int], wide: list[int], at: int) -> list[tuple[int, int]]:

@@ -206,6 +206,20 @@ def test_transducer_is_the_plain_definition_in_constant_memory():
             assert ids == m.merge([*(m.ids[c] for c in word[:-1]), m.ids[word[-1] + m.end]])
 
 
+@pytest.mark.parametrize("steps", [3, 1 << 20])
+def test_transducer_tries_only_tokens_that_end_where_it_stands(monkeypatch, library, steps):
+    """Words of known endings cost a step a symbol, not a lookup for each substring; what is remembered is bounded."""
+    monkeypatch.setattr(bpe, "MEMO_STEPS", steps, raising=False)
+    t, rnd = bpe.load(bpe.vocabulary()), random.Random(11)
+    encoder = bpe.Encoder(t.merges)
+    words = ["".join(rnd.choice("theains") for _ in range(rnd.randint(1, 30))) for _ in range(600)]
+    made = [list(encoder.word(w)) for w in words]
+    assert made == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert 0 < encoder.steps <= min(steps, sum(map(len, words)) // 2)
+    assert len(encoder.states) <= encoder.steps
+    assert [list(encoder.word(w)) for w in words] == made
+
+
 def test_decoder_holds_back_unfinished_characters():
     t = bpe.load(bpe.vocabulary())
     ids = t.encode("ñandú 日本 <|endoftext|> x")
