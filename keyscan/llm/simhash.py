@@ -28,9 +28,11 @@ SPLIT_BITS = 6
 #: A subtrie of at least so many fingerprints, and of at most 4 to the power of the budget, is compared directly: on its
 #: dense levels a pair differs in half of the bits, so that the walk would drop next to none.
 DIRECT = 64
-#: Texts of one candidate group that are held against each other at once; larger groups are parted first, by shared
-#: shingles of texts whose fingerprints lie within so many bits of each other, both kinds.
+#: Texts of one candidate group that are held against each other at once; groups are of texts with a shared shingle
+#: whose fingerprints lie within so many bits of each other, both kinds.
 GROUP, PARTED = 512, (24, 26)
+#: Texts that tell which shingles are common.
+SAMPLED = 8192
 #: Node pairs that are followed at once.
 FRONTIER = 1 << 17
 #: Links that a task makes one spanning forest of before stars are drawn.
@@ -51,7 +53,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Majority bits of the shingles of a text; a single shingle is the fingerprint itself; no word: 0."""
-    hashes = shingles(text, width)
+    return majority(shingles(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     if len(hashes) < 2:
         return int(hashes[0]) if len(hashes) else 0
     counts = np.zeros(64, np.int64)
@@ -335,21 +341,56 @@ def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]
 
 def leading(text: str | None, words: int, least: float) -> np.ndarray:
     """So many of a text's distinct shingles, the least first, that a text with a similarity of ``least`` shares one."""
-    x = np.unique(shingles(text, words))
+    return first_of(shingles(text, words), least)
+
+
+def first_of(hashes: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The same of shingles; those that are ``common`` come last. Any order that all texts share will do."""
+    x = np.unique(hashes)
+    if common and len(common[0]) and len(x):
+        at = np.minimum(np.searchsorted(common[0], x), len(common[0]) - 1)
+        x = x[np.argsort(np.where(common[0][at] == x, common[1][at], 0), kind="stable")]
     return x[: len(x) - math.ceil(least * len(x) - 1e-3) + 1]
 
 
-def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the rows ``key, u, fp, fp2``, sorted by key, that have one key and near fingerprints."""
+def common_shingles(rows: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several of some ``SAMPLED`` texts, rising, and in how many each; they only set an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, words)).view(np.int64))], ["x"])
+        give_back()
+
+    sample = rows.select(text).sample(min(1.0, SAMPLED / max(1, rows.count())), seed=42)
+    found = sample.mapInArrow(run, "x long").groupBy("x").count().where("count > 3").orderBy(F.desc("count"), "x").limit(1 << 16).collect()
+    x, n = (np.array([r[k] for r in found], np.int64) for k in range(2))
+    order = np.argsort(x.view(np.uint64))
+    return x.view(np.uint64)[order], n[order]
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links of the rows ``key, u, fp, fp2, n, place``, sorted by key, that have one key and near fingerprints.
+
+    ``n`` is how many leading shingles a text has and ``place`` the shared one's among them; both bound what two texts can
+    have in common, and pairs that cannot reach ``least`` are no links.
+    """
+
+    def possible(n: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        most, fewest = np.ceil(n / (1 - least)), (n - 1.01) / (1 - least)
+        shared = np.minimum(place[a], place[b]) + np.minimum(most[a] - place[a], most[b] - place[b])
+        return (1 + least) * shared >= least * (fewest[a] + fewest[b])
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        key, u, fp, fp2 = rows.T
+        key, u, fp, fp2, n, place = rows.T
         forest, at = Forest(len(rows)), np.arange(len(rows) - 1)
         apart = 1
         while len(at := at[at + apart < len(rows)]) and len(at := at[key[at] == key[at + apart]]):
-            near = np.bitwise_count((fp[at] ^ fp[at + apart]).view(np.uint64)) <= PARTED[0]
-            near &= np.bitwise_count((fp2[at] ^ fp2[at + apart]).view(np.uint64)) <= PARTED[1]
-            forest.link(at[near], at[near] + apart)
+            near = at[np.bitwise_count((fp[at] ^ fp[at + apart]).view(np.uint64)) <= PARTED[0]]
+            near = near[np.bitwise_count((fp2[near] ^ fp2[near + apart]).view(np.uint64)) <= PARTED[1]]
+            near = near[possible(n, place, near, near + apart)]
+            if len(near):
+                forest.link(near, near + apart)
             apart += 1
         child = np.flatnonzero(forest.parent != np.arange(len(rows)))
         pairs = spanning(u[child], u[forest.parent[child]])
@@ -371,27 +412,30 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def parted(large: DataFrame, shingled: DataFrame) -> DataFrame:
+def parted(large: DataFrame, shingled: DataFrame, least: float = 0.8) -> DataFrame:
     """``u, root``: smaller groups of the groups ``u, root, fp, fp2``, which part no texts that are alike.
 
     Alike texts share a leading shingle (``u, shingles``). Of a group's texts with a leading shingle in common those are
-    linked whose fingerprints differ in ``PARTED`` bits at most, far more than lead into one group. Texts are not moved for
-    this. Who is linked to none is in no group.
+    linked whose fingerprints differ in ``PARTED`` bits at most and that can reach ``least`` by their numbers of shingles
+    and the shared one's places. Texts are not moved for this. Who is linked to none is in no group.
     """
     dealt = shingled.join(large, "u").groupBy("u", "root", "fp", "fp2").agg(F.first("shingles").alias("shingles"))
-    dealt = dealt.select("u", "root", "fp", "fp2", F.explode("shingles").alias("x")).select(F.xxhash64("root", "x").alias("key"), "u", "fp", "fp2")
-    tree = components(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_sharing, "a long, b long"))
+    dealt = dealt.select("u", "root", "fp", "fp2", F.size("shingles").alias("n"), F.posexplode("shingles").alias("place", "x"))
+    dealt = dealt.select(F.xxhash64("root", "x").alias("key"), "u", "fp", "fp2", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _sharing(batches, least), "a long, b long")
+    tree = components(found)
     return tree.select(F.col("node").alias("u"), "root").unionByName(tree.select(F.col("root").alias("u"), "root").distinct())
 
 
-def similar(df: DataFrame, key: str, text: str, budget: int = 16, within: int = 20, words: int = 5, least: float = 0.8) -> DataFrame:
+def similar(df: DataFrame, key: str, text: str, words: int = 5, least: float = 0.8) -> DataFrame:
     """``key, component_id``: the smallest key that pairs of texts with a similarity of ``least`` or more reach.
 
-    The similarity is Jaccard's, exact, over runs of ``words`` words. Candidates are groups of texts linked by pairs of
-    fingerprints of three words within the budget whose fingerprints of ``words`` words lie within ``within`` bits. With
-    many texts chance links nearly all of them, so groups of over ``GROUP`` are parted (``parted``). In each group every
-    text is held against every other, in blocks of ``GROUP`` where it is still large. Fingerprints are drawn by
-    hashes, so a pair can lie outside both budgets by chance; of the pairs at 0.8 or more in the samples none does.
+    The similarity is Jaccard's, exact, over runs of ``words`` words. Candidates are groups of texts linked by pairs that
+    share a leading shingle, as all alike texts do, and whose fingerprints of three and of ``words`` words lie within
+    ``PARTED`` bits (``parted``). Such pairs are looked for within a shingle alone: at these widths chance brings random
+    fingerprints together, so that a join of tries would link nearly all texts and grow with their square. In each group
+    every text is held against every other, in blocks of ``GROUP`` where it is large. Fingerprints are drawn by
+    hashes, so a pair can lie outside the bits by chance; of the pairs at 0.8 or more in the samples none does.
     Texts of the same words are linked, empty and null ones too. Rows and keys are treated as in ``near_duplicates``.
     """
     spark = df.sparkSession
@@ -403,10 +447,19 @@ def similar(df: DataFrame, key: str, text: str, budget: int = 16, within: int =
         return xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split()))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The leading shingles once for each distinct text of the partition."""
+        seen = set()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            made = [pa.array(np.array([f(t) for t in texts], np.uint64).view(np.int64)) for f in (fingerprint, lambda t: fingerprint(t, words), same)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["key", "fp", "fp2", "u"])
+            fp, fp2, u, first = [], [], [], []
+            for t in b.column(1).to_pylist():
+                hashes = shingles(t, words)
+                fp.append(fingerprint(t))
+                fp2.append(majority(hashes))
+                u.append(same(t))
+                first.append(None if u[-1] in seen else first_of(hashes, least, common).view(np.int64))
+                seen.add(u[-1])
+            made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, fp2, u)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made, pa.array(first, pa.list_(pa.int64()))], ["key", "fp", "fp2", "u", "shingles"])
         give_back()
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,12 +474,6 @@ def similar(df: DataFrame, key: str, text: str, budget: int = 16, within: int =
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.string())], ["u", "t"])
         give_back()
 
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The least shingles of each distinct text: alike texts share one of them."""
-        for b in once(batches):
-            made = [leading(t, words, least) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], ["u", "shingles"])
-
     def verified(table: pa.Table) -> pa.Table:
         u = table.column("u").to_numpy()
         a, b = alike([np.unique(shingles(t, words)) for t in table.column("t").to_pylist()], least)
@@ -434,16 +481,10 @@ def similar(df: DataFrame, key: str, text: str, budget: int = 16, within: int =
             give_back()
         return pa.table({"a": u[a], "b": u[b]})
 
-    docs = cut(rows.mapInArrow(marked, "key long, fp long, fp2 long, u long"))
-    distinct = docs.groupBy("fp", "u").agg(F.min("key").alias("least"), F.min("fp2").alias("fp2"))
-    roots = components(links(distinct.groupBy("fp").agg(F.min("fp2").alias("fp2")), budget, 1 << 17, within))
-    named = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("u", "least", F.coalesce("root", "fp").alias("root"), "fp", "fp2"))
-    small_batches(spark)
-    many = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    held = named.join(many, "root")
-    groups, large = held.where(F.col("n") <= GROUP).select("u", "root"), held.where(F.col("n") > GROUP).select("u", "root", "fp", "fp2")
-    if large.take(1):
-        groups = groups.unionByName(parted(large, rows.mapInArrow(firsts, "u long, shingles array<long>")))
+    common = common_shingles(rows, "t", words)
+    docs = cut(rows.mapInArrow(marked, "key long, fp long, fp2 long, u long, shingles array<long>"))
+    named = docs.groupBy("u").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
+    groups = cut(parted(named.select("u", F.lit(0).alias("root"), "fp", "fp2"), docs.where("shingles is not null").select("u", "shingles"), least))
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
     wanted = groups.join(blocks, "root").select("u", "root", "blocks", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("own"))
     texts = rows.mapInArrow(once, "u long, t string").join(wanted, "u").groupBy("u", "root", "blocks", "own").agg(F.first("t").alias("t"))

@@ -590,6 +590,34 @@ def test_large_candidate_groups_are_parted(spark):
     assert collected(simhash.parted(large, shingled)) == collected(large.selectExpr("u", "u - u % 2 AS root"))
 
 
+def test_near_copies_are_looked_for_within_shared_shingles(spark, monkeypatch):
+    """No join of tries, whose rows grow with the square; alike texts of distant fingerprints are linked too."""
+    import corpus_pipeline as p
+
+    monkeypatch.delattr(simhash, "links")
+    rnd, texts = random.Random(5), []
+    while len(texts) < 20:
+        words = [f"w{rnd.randrange(9000)}" for _ in range(10)]
+        pair = [" ".join(words[:9]), " ".join(words)]
+        if (simhash.fingerprint(pair[0]) ^ simhash.fingerprint(pair[1])).bit_count() > 16:
+            texts += pair
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in p.near_copies_out(spark, docs, SF).collect()} == set(range(0, 20, 2))
+
+
+def test_common_shingles_lead_last(spark):
+    """What most texts hold is no key for most texts; in any order, alike texts share a leading shingle."""
+    rnd, line = random.Random(6), " ".join(f"all{k}" for k in range(40))
+    texts = [" ".join([*(f"w{rnd.randrange(9000)}" for _ in range(100)), line]) for _ in range(60)]
+    common = simhash.common_shingles(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 5)
+    of = lambda t, c: set(simhash.first_of(simhash.shingles(t, 5), 0.8, c).tolist())
+    keys = lambda c: Counter(x for t in texts for x in of(t, c)).most_common(1)[0][1]
+    assert len(common[0]) == 36 and set(common[1].tolist()) == {60}
+    assert keys(None) > 30 and keys(common) == 1
+    for t in texts:
+        assert of(t, common) & of(" ".join(t.split()[:-10]), common)
+
+
 def test_pipeline_mixes_to_the_target_shares(spark):
     import corpus_pipeline as p
 
