@@ -33,6 +33,8 @@ DIRECT = 64
 GROUP, PARTED = 512, (24, 26)
 #: Texts that tell which shingles are common.
 SAMPLED = 8192
+#: Leading shingles that are dealt to one part at most on average.
+PART = 1 << 18
 #: Node pairs that are followed at once.
 FRONTIER = 1 << 17
 #: Links that a task makes one spanning forest of before stars are drawn.
@@ -369,8 +371,34 @@ def common_shingles(rows: DataFrame, text: str, words: int) -> tuple[np.ndarray,
     return x.view(np.uint64)[order], n[order]
 
 
+#: What is dealt out of a text for each of its leading shingles.
+RECORD = np.dtype([("key", "<i8"), ("u", "<i8"), ("fp", "<i8"), ("fp2", "<i8"), ("n", "<i4"), ("place", "<i4")])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The records of the texts ``u, root, fp, fp2, shingles`` by the part that their key falls to, packed."""
+    for b in batches:
+        u, root, fp, fp2 = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+        lists = [np.asarray(x, np.int64) for x in b.column(4).to_pylist()]
+        n = np.array([len(x) for x in lists])
+        owner = np.repeat(np.arange(len(n)), n)
+        if not len(owner):
+            continue
+        out = np.empty(len(owner), RECORD)
+        mixed = np.concatenate(lists).view(np.uint64) ^ (root.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[owner]
+        out["key"], out["u"], out["fp"], out["fp2"], out["n"] = mixed.view(np.int64), u[owner], fp[owner], fp2[owner], n[owner]
+        out["place"] = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+        # leading hashes are small ones, so their low bits tell the part
+        part = (mixed % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        held, first = np.unique(part[order], return_index=True)
+        blobs = [x.tobytes() for x in np.split(out[order], first[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(blobs, pa.binary())], ["part", "records"])
+    give_back()
+
+
 def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Links of the rows ``key, u, fp, fp2, n, place``, sorted by key, that have one key and near fingerprints.
+    """Links of the records in rows ``part, records``, sorted by part, that have one key and near fingerprints.
 
     ``n`` is how many leading shingles a text has and ``place`` the shared one's among them; both bound what two texts can
     have in common, and pairs that cannot reach ``least`` are no links.
@@ -381,33 +409,31 @@ def _sharing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         shared = np.minimum(place[a], place[b]) + np.minimum(most[a] - place[a], most[b] - place[b])
         return (1 + least) * shared >= least * (fewest[a] + fewest[b])
 
-    def solve(rows: np.ndarray) -> pa.RecordBatch:
-        key, u, fp, fp2, n, place = rows.T
-        forest, at = Forest(len(rows)), np.arange(len(rows) - 1)
+    def solve(records: np.ndarray) -> pa.RecordBatch:
+        records = records[np.argsort(records["key"], kind="stable")]
+        key, u, fp, fp2, n, place = (np.ascontiguousarray(records[k]) for k in RECORD.names)
+        forest, at = Forest(len(key)), np.arange(len(key) - 1)
         apart = 1
-        while len(at := at[at + apart < len(rows)]) and len(at := at[key[at] == key[at + apart]]):
+        while len(at := at[at + apart < len(key)]) and len(at := at[key[at] == key[at + apart]]):
             near = at[np.bitwise_count((fp[at] ^ fp[at + apart]).view(np.uint64)) <= PARTED[0]]
             near = near[np.bitwise_count((fp2[near] ^ fp2[near + apart]).view(np.uint64)) <= PARTED[1]]
             near = near[possible(n, place, near, near + apart)]
             if len(near):
                 forest.link(near, near + apart)
             apart += 1
-        child = np.flatnonzero(forest.parent != np.arange(len(rows)))
+        child = np.flatnonzero(forest.parent != np.arange(len(key)))
         pairs = spanning(u[child], u[forest.parent[child]])
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    held: list[np.ndarray] = []
-    size = 0
+    held, now = [], None
     for b in batches:
-        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
-        size += len(held[-1])
-        if size > 1 << 18:
-            rows = np.concatenate(held)
-            whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if whole:
-                yield solve(rows[:whole])
-            held, size = [rows[whole:]], len(rows) - whole
-    if size:
+        for part, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if part != now and held:
+                yield solve(np.concatenate(held))
+                held = []
+            now = part
+            held.append(np.frombuffer(records, RECORD))
+    if held:
         yield solve(np.concatenate(held))
     give_back()
 
@@ -420,9 +446,10 @@ def parted(large: DataFrame, shingled: DataFrame, least: float = 0.8) -> DataFra
     and the shared one's places. Texts are not moved for this. Who is linked to none is in no group.
     """
     dealt = shingled.join(large, "u").groupBy("u", "root", "fp", "fp2").agg(F.first("shingles").alias("shingles"))
-    dealt = dealt.select("u", "root", "fp", "fp2", F.size("shingles").alias("n"), F.posexplode("shingles").alias("place", "x"))
-    dealt = dealt.select(F.xxhash64("root", "x").alias("key"), "u", "fp", "fp2", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
-    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _sharing(batches, least), "a long, b long")
+    rows = shingled.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    parts = max(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART))
+    blobs = dealt.select("u", "root", "fp", "fp2", "shingles").mapInArrow(lambda batches: _dealt(batches, parts), "part long, records binary")
+    found = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _sharing(batches, least), "a long, b long")
     tree = components(found)
     return tree.select(F.col("node").alias("u"), "root").unionByName(tree.select(F.col("root").alias("u"), "root").distinct())
 
